@@ -33,7 +33,7 @@ SPECIALS = "[&#$%*]"
 WHITESPACE_RUN = r"[\t\n\x0B\f\r\x{85}\p{Z}]{2,}"
 
 # Stand in for escaped angle brackets while ampersands are rewritten (private use characters).
-_LT, _GT = "", ""
+_LT, _GT = "\ue000", "\ue001"
 
 
 @lru_cache(maxsize=1)

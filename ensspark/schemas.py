@@ -39,84 +39,121 @@ ENTRIES = T.StructType(
 # The order of the fields is the order of the elements in a written document. The sender's
 # password element is left out on purpose, so a typed read drops it.
 
-_INTERCHANGE = """struct<Version:string,SenderID:string,RecipientID:string,InterchangeReference:string,
-  Application:string,MsgType:string,Date:string,Time:string,TestIndicator:string>"""
-
-_PARTY = "struct<Name:string,Address:string,Country:string,ZipCode:string,City:string,Number:string>"
-
-_GOODS_ITEM = """struct<ItemNumber:string,Description:string,TariffNumber:string,
-  harmonizedSystemSubHeadingCode:string,GrossWeight:string,UnDangerousGoodsCode:string,
-  Container:array<struct<ContainerNumber:string,PackageQuantity:string>>,
-  Package:struct<Marks:string,KindOfPackage:string,NumberOfPackages:string>,
-  ProducedDocument:struct<DocumentType:string,DocumentReference:string>>"""
-
-_DECLARATION = f"""struct<LocalReferenceNumber:string,TotalNumberOfItems:string,TotalNumberOfPackages:string,
-  CommercialRefNum:string,TransportModeAtBorder:string,IdeOfMeaOfTraCro:string,ConveyanceRefNum:string,
-  PlaceOfLoading:string,PlaceOfUnloading:string,TotalGrossWeight:string,
-  TransportChargesMethodOfPayment:string,DeclDateTime:string,DeclPlace:string,
-  Consignor:{_PARTY},Consignee:{_PARTY},NotifyParty:{_PARTY},
-  LodgingPerson:struct<TIN:string>,Carrier:struct<TIN:string>,
-  Itinerary:array<struct<CountryCode:string>>,
-  GoodsItem:array<{_GOODS_ITEM}>,
-  CustOfficeOfFirstEntry:struct<RefNum:string,ExpectedDateTimeOfArrival:string>,
-  CustOfficeOfSubsequentEntry:array<struct<RefNum:string>>,
-  Seal:array<struct<SealID:string,ContainerNumber:string>>>"""
-
-_F10_PARTY = """struct<name:string,typeOfPerson:string,
-  Address:struct<city:string,country:string,street:string,postCode:string,number:string>>"""
-
-_F10_COMPANY = """struct<name:string,identificationNumber:string,
-  Address:struct<city:string,country:string,street:string,postCode:string,number:string>{extra}>"""
-
-_F10_GOODS_ITEM = """struct<goodsItemNumber:string,
-  Commodity:struct<descriptionOfGoods:string,CommodityCode:struct<harmonizedSystemSubHeadingCode:string>,
-    DangerousGoods:struct<unNumber:string>>,
-  Weight:struct<grossMass:string>,
-  Packaging:struct<shippingMarks:string,numberOfPackages:string,typeOfPackages:string>,
-  TransportEquipment:array<struct<containerSizeAndType:string,containerPackedStatus:string,
-    containerSupplierType:string,containerIdentificationNumber:string,numberOfSeals:string,
-    Seal:struct<identifier:string>>>>"""
-
-_F10 = f"""struct<SMFAPI:struct<senderID:string,recipientID:string,docType:string>,
-  SMFENS2FilingBody:struct<LRN:string,ConveyanceRefNum:string,documentIssueDate:string,
-    specificCircumstanceIndicator:string,reEntryIndicator:string,
-    SplitConsignment:struct<splitConsignmentIndicator:string>,
-    ActiveBorderTransportMeans:struct<identificationNumber:string,typeOfIdentification:string,
-      typeOfMeansOfTransport:string,nationality:string,modeOfTransport:string,
-      estimatedDateAndTimeOfDeparture:string,estimatedDateAndTimeOfArrival:string,
-      CountriesOfRoutingOfMeansOfTransport:array<struct<sequenceNumber:string,country:string>>>,
-    ConsignmentMasterLevel:struct<Carrier:{_F10_COMPANY.format(extra="")},
-      ConsignmentHouseLevel:struct<containerIndicator:string,totalGrossMass:string,
-        PlaceOfAcceptance:struct<unlocode:string>,Consignee:{_F10_PARTY},
-        GoodsItem:array<{_F10_GOODS_ITEM}>,Consignor:{_F10_PARTY},
-        TransportCharges:struct<methodOfPayment:string>,PlaceOfDelivery:struct<unlocode:string>,
-        GoodsShipment:struct<Buyer:{_F10_PARTY},Seller:{_F10_PARTY}>>,
-      PlaceOfLoading:struct<unlocode:string>,
-      TransportDocumentMasterLevel:struct<documentNumber:string,type:string>,
-      PlaceOfUnloading:struct<unlocode:string>>,
-    Declarant:{_F10_COMPANY.format(extra=",Communication:struct<identifier:string,type:string>")},
-    CustomsOfficeOfFirstEntry:struct<referenceNumber:string>,
-    CustOfficeOfSubsequentEntry:array<struct<RefNum:string>>>>"""
-
-
-def _squeeze(ddl: str) -> str:
-    return "".join(ddl.split())
 
+def _record(*parts: str | tuple[str, T.DataType]) -> T.StructType:
+    """Struct of text fields (names separated by blanks) and of ``(name, type)`` pairs, in order."""
+    fields: list[T.StructField] = []
+    for part in parts:
+        if isinstance(part, str):
+            fields += [T.StructField(name, T.StringType()) for name in part.split()]
+        else:
+            fields.append(T.StructField(*part))
+    return T.StructType(fields)
+
+
+INTERCHANGE = _record(
+    "Version SenderID RecipientID InterchangeReference Application MsgType Date Time TestIndicator"
+)
+PARTY = _record("Name Address Country ZipCode City Number")
+GOODS_ITEM = _record(
+    "ItemNumber Description TariffNumber harmonizedSystemSubHeadingCode GrossWeight UnDangerousGoodsCode",
+    ("Container", T.ArrayType(_record("ContainerNumber PackageQuantity"))),
+    ("Package", _record("Marks KindOfPackage NumberOfPackages")),
+    ("ProducedDocument", _record("DocumentType DocumentReference")),
+)
+DECLARATION = _record(
+    "LocalReferenceNumber TotalNumberOfItems TotalNumberOfPackages CommercialRefNum TransportModeAtBorder",
+    "IdeOfMeaOfTraCro ConveyanceRefNum PlaceOfLoading PlaceOfUnloading TotalGrossWeight",
+    "TransportChargesMethodOfPayment DeclDateTime DeclPlace",
+    ("Consignor", PARTY),
+    ("Consignee", PARTY),
+    ("NotifyParty", PARTY),
+    ("LodgingPerson", _record("TIN")),
+    ("Carrier", _record("TIN")),
+    ("Itinerary", T.ArrayType(_record("CountryCode"))),
+    ("GoodsItem", T.ArrayType(GOODS_ITEM)),
+    ("CustOfficeOfFirstEntry", _record("RefNum ExpectedDateTimeOfArrival")),
+    ("CustOfficeOfSubsequentEntry", T.ArrayType(_record("RefNum"))),
+    ("Seal", T.ArrayType(_record("SealID ContainerNumber"))),
+)
+ENVELOPE = _record(("Interchange", INTERCHANGE), ("EntrySummaryDeclaration", DECLARATION))
+
+_F10_ADDRESS = ("Address", _record("city country street postCode number"))
+_UNLOCODE = _record("unlocode")
+F10_PARTY = _record("name typeOfPerson", _F10_ADDRESS)
+F10_GOODS_ITEM = _record(
+    "goodsItemNumber",
+    (
+        "Commodity",
+        _record(
+            "descriptionOfGoods",
+            ("CommodityCode", _record("harmonizedSystemSubHeadingCode")),
+            ("DangerousGoods", _record("unNumber")),
+        ),
+    ),
+    ("Weight", _record("grossMass")),
+    ("Packaging", _record("shippingMarks numberOfPackages typeOfPackages")),
+    (
+        "TransportEquipment",
+        T.ArrayType(
+            _record(
+                "containerSizeAndType containerPackedStatus containerSupplierType",
+                "containerIdentificationNumber numberOfSeals",
+                ("Seal", _record("identifier")),
+            )
+        ),
+    ),
+)
+F10_BODY = _record(
+    "LRN ConveyanceRefNum documentIssueDate specificCircumstanceIndicator reEntryIndicator",
+    ("SplitConsignment", _record("splitConsignmentIndicator")),
+    (
+        "ActiveBorderTransportMeans",
+        _record(
+            "identificationNumber typeOfIdentification typeOfMeansOfTransport nationality modeOfTransport",
+            "estimatedDateAndTimeOfDeparture estimatedDateAndTimeOfArrival",
+            ("CountriesOfRoutingOfMeansOfTransport", T.ArrayType(_record("sequenceNumber country"))),
+        ),
+    ),
+    (
+        "ConsignmentMasterLevel",
+        _record(
+            ("Carrier", _record("name identificationNumber", _F10_ADDRESS)),
+            (
+                "ConsignmentHouseLevel",
+                _record(
+                    "containerIndicator totalGrossMass",
+                    ("PlaceOfAcceptance", _UNLOCODE),
+                    ("Consignee", F10_PARTY),
+                    ("GoodsItem", T.ArrayType(F10_GOODS_ITEM)),
+                    ("Consignor", F10_PARTY),
+                    ("TransportCharges", _record("methodOfPayment")),
+                    ("PlaceOfDelivery", _UNLOCODE),
+                    ("GoodsShipment", _record(("Buyer", F10_PARTY), ("Seller", F10_PARTY))),
+                ),
+            ),
+            ("PlaceOfLoading", _UNLOCODE),
+            ("TransportDocumentMasterLevel", _record("documentNumber type")),
+            ("PlaceOfUnloading", _UNLOCODE),
+        ),
+    ),
+    (
+        "Declarant",
+        _record("name identificationNumber", _F10_ADDRESS, ("Communication", _record("identifier type"))),
+    ),
+    ("CustomsOfficeOfFirstEntry", _record("referenceNumber")),
+    ("CustOfficeOfSubsequentEntry", T.ArrayType(_record("RefNum"))),
+)
+F10 = _record(("SMFAPI", _record("senderID recipientID docType")), ("SMFENS2FilingBody", F10_BODY))
+F10_ENVELOPE = _record(("Body", _record(("SMFENS2", F10))))
 
 CORRUPT = "_corrupt_record"
-INTERCHANGE_DDL = _squeeze(_INTERCHANGE)
-DECLARATION_DDL = _squeeze(_DECLARATION)
-F10_DDL = _squeeze(_F10)
-PARTY_DDL = _PARTY
-
-ENVELOPE_DDL = f"Interchange {INTERCHANGE_DDL}, EntrySummaryDeclaration {DECLARATION_DDL}"
-F10_ENVELOPE_DDL = f"Body struct<SMFENS2:{F10_DDL}>"
-
-ENVELOPE = T.StructType.fromDDL(ENVELOPE_DDL)
-DECLARATION = ENVELOPE["EntrySummaryDeclaration"].dataType
-GOODS_ITEM = DECLARATION["GoodsItem"].dataType.elementType
-F10_ENVELOPE = T.StructType.fromDDL(F10_ENVELOPE_DDL)
-F10 = F10_ENVELOPE["Body"].dataType["SMFENS2"].dataType
+
+
+def with_corrupt(schema: T.StructType) -> T.StructType:
+    """The schema plus the column that takes a record which cannot be parsed."""
+    return T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+
 
 # --- fixed values: they have to be equal for equal results ---------------------------------------
 
