@@ -26,6 +26,7 @@ ENCODING_REPAIRS = {
 }
 
 # Characters that survive cleaning, and the ones a GB filing must not hold.
+ALLOWED = "[a-zA-Z0-9 /.,'&()-]"
 NOT_ALLOWED = "[^a-zA-Z0-9 /.,'&()-]"
 SPECIALS = "[&#$%*]"
 
@@ -78,9 +79,8 @@ def clean(text: Column) -> Column:
 
 def removed_characters(text: Column) -> Column:
     """What ``clean`` takes out, in order, with neighbouring repeats reported once."""
-    found = F.regexp_extract_all(_plain(text), F.lit(f"({NOT_ALLOWED})"), F.lit(1))
-    distinct = F.filter(found, lambda ch, i: (i == 0) | (ch != F.get(found, i - 1)))
-    return F.array_join(distinct, "")
+    removed = F.regexp_replace(_plain(text), ALLOWED, "")
+    return F.regexp_replace(removed, r"(?s)(.)\1+", "$1")
 
 
 def clean_if_dirty(text: Column) -> Column:
