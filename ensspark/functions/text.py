@@ -28,7 +28,7 @@ ENCODING_REPAIRS = {
 # Characters that survive cleaning, and the ones a GB filing must not hold.
 ALLOWED = "[a-zA-Z0-9 /.,'&()-]"
 NOT_ALLOWED = "[^a-zA-Z0-9 /.,'&()-]"
-SPECIALS = "[&#$%*]"
+SPECIALS = "&#$%*"
 
 # White space as the Unicode-aware regex engines see it; valid in Java and RE2.
 WHITESPACE_RUN = r"[\t\n\x0B\f\r\x{85}\p{Z}]{2,}"
@@ -64,8 +64,10 @@ def repair_encoding(text: Column) -> Column:
 
 
 def strip_accents(text: Column) -> Column:
+    """Drop accents; plain ASCII text takes the short way."""
     source, target = accent_map()
-    return F.regexp_replace(F.translate(text, source, target), r"\p{M}", "")
+    bare = F.regexp_replace(F.translate(text, source, target), r"\p{M}", "")
+    return F.when(text.rlike(r"[^\x00-\x7F]"), bare).otherwise(text)
 
 
 def _plain(text: Column) -> Column:
@@ -89,12 +91,14 @@ def clean_if_dirty(text: Column) -> Column:
 
 
 def strip_specials(text: Column) -> Column:
-    return F.regexp_replace(text, SPECIALS, "")
+    for char in SPECIALS:
+        text = F.replace(text, F.lit(char), F.lit(""))
+    return text
 
 
 def strip(text: Column) -> Column:
-    """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    """Trim every common kind of white space, not only blanks."""
+    return F.trim(text, F.lit(" \t\n\x0b\f\r\x85\xa0"))
 
 
 def normalize_document(text: Column) -> Column:

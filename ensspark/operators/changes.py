@@ -232,14 +232,13 @@ def check_clones(voyages: DataFrame, entries: DataFrame, requests: DataFrame) ->
 
 
 def clone_voyages(
-    voyages: DataFrame, entries: DataFrame, requests: DataFrame
+    voyages: DataFrame, entries: DataFrame, checked: DataFrame
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Clone voyages with shifted dates: new voyages, new entries, outcome per request.
+    """Clone the checked requests with shifted dates: new voyages, new entries, outcome per request.
 
     Clones are undeclared and have no file list. Entry ids follow the order of the requests and,
     inside one, the order of arrival.
     """
-    checked = check_clones(voyages, entries, requests)
     good = checked.filter("ok").select(
         "seq",
         "voyage_id",

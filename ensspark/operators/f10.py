@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ensspark import schemas
-from ensspark.functions.nested import map_leaves
+from ensspark.functions.nested import map_struct
 from ensspark.functions.tariff import six_long
 from ensspark.functions.text import WHITESPACE_RUN, clean
 from ensspark.functions.values import document_time, or_default, zulu
@@ -75,7 +75,7 @@ def prepare(docs: DataFrame) -> DataFrame:
         number = F.when(party["Number"] == "00", schemas.NOT_AVAILABLE).otherwise(party["Number"])
         return party.withField("Number", number)
 
-    tidy = docs.withColumn(DECL, map_leaves(d, schemas.DECLARATION, normalize_value))
+    tidy = docs.withColumn(DECL, map_struct(d, schemas.DECLARATION, normalize_value))
     merged = drop_gb_office(merge_parties(tidy))
     return merged.withColumn(
         DECL,
@@ -370,8 +370,9 @@ def convert(
     The result has ``F10`` for converted and ``reject_reason`` for refused documents, the
     ``corrections`` made, and the repaired ``EntrySummaryDeclaration``.
     """
-    fixed = repair(prepare(docs), routes, offices)
-    return build(enrich(fixed, flags, container_types, hs_codes), issued, company or Company())
+    # Lookups first: their key branches then read the goods items only.
+    enriched = enrich(prepare(docs), flags, container_types, hs_codes)
+    return build(repair(enriched, routes, offices), issued, company or Company())
 
 
 # --- flattened documents ---------------------------------------------------------------------------

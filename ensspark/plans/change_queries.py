@@ -9,6 +9,7 @@ from ensspark.operators import changes as ops
 from ensspark.plans.registry import query
 from ensspark.plans.standin import AS_OF, AS_OF_SQL, PORTS, TRACKER_SQL, entries, pick, sql_list, table, tracker
 from ensspark.plans.standin import vessels, voyages
+from ensspark.sinks import land
 from ensspark.sources.lookups import port_offices
 
 WITH = f"WITH {TRACKER_SQL}"
@@ -124,9 +125,8 @@ def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _inserted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return ops.insert_voyages(
-        voyages(spark, sf_dir), entries(spark, sf_dir), _checked(spark, sf_dir), calls(spark, sf_dir)
-    )
+    checked = land(_checked(spark, sf_dir), "submissions")
+    return ops.insert_voyages(voyages(spark, sf_dir), entries(spark, sf_dir), checked, calls(spark, sf_dir))
 
 
 REASONS = """concat_ws(';', CASE WHEN vessel_name = '' THEN 'vessel required' END,
@@ -296,7 +296,8 @@ def _clones(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
         F.concat(F.lit("C"), key.cast("string")).alias("voyage_number"),
         F.when(key % 19 == 0, "soon").otherwise(F.date_format(day, "yyyy-MM-dd")).alias("start"),
     )
-    return ops.clone_voyages(voyages(spark, sf_dir), entries(spark, sf_dir), requests)
+    checked = land(ops.check_clones(voyages(spark, sf_dir), entries(spark, sf_dir), requests), "clones")
+    return ops.clone_voyages(voyages(spark, sf_dir), entries(spark, sf_dir), checked)
 
 
 @query(
