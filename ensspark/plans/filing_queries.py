@@ -236,7 +236,8 @@ judged AS (
 converted AS (SELECT * FROM judged WHERE reject_reason IS NULL)"""
 
 
-def _converted(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lookups(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Container types and HS codes derived from parts."""
     part = table(spark, sf_dir, "part")
     top, key = F.max("p_partkey"), F.col("p_partkey")
     hs_codes = part.groupBy(F.col("p_name").alias("description")).agg(
@@ -246,6 +247,11 @@ def _converted(spark: SparkSession, sf_dir: str) -> DataFrame:
         decl.join("mclu", decl.digits(key * 10 + 4, 7)).alias("container"),
         F.when(key % 3 == 0, "").otherwise(decl.join("2", key % 10)).alias("size_type"),
     )
+    return types, hs_codes
+
+
+def _converted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    types, hs_codes = lookups(spark, sf_dir)
     return f10.convert(
         decl.documents(spark, sf_dir),
         routes=vessel_routes(spark),
