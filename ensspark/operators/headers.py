@@ -28,6 +28,15 @@ def with_number(party: Column) -> Column:
     return party.withField("Number", F.coalesce(party["Number"], F.lit(schemas.NOT_AVAILABLE)))
 
 
+def _with_tin(party: Column, tin: Column) -> Column:
+    """Set the tax id of a party that has one.
+
+    Nested structs are rebuilt one level at a time throughout this module: a dotted ``withField``
+    path repeats the whole column for every level, which multiplies along a chain.
+    """
+    return party.withField("TIN", existing(party["TIN"], tin))
+
+
 def update_headers(
     docs: DataFrame,
     voyage: Column,
@@ -51,14 +60,16 @@ def update_headers(
         d.withField("ConveyanceRefNum", existing(d["ConveyanceRefNum"], voyage))
         .withField("IdeOfMeaOfTraCro", existing(d["IdeOfMeaOfTraCro"], imo))
         .withField("DeclPlace", existing(d["DeclPlace"], port))
-        .withField("CustOfficeOfFirstEntry.RefNum", existing(office["RefNum"], F.nullif(ref_num, F.lit(""))))
         .withField(
-            "CustOfficeOfFirstEntry.ExpectedDateTimeOfArrival", existing(office["ExpectedDateTimeOfArrival"], stamp)
+            "CustOfficeOfFirstEntry",
+            office.withField("RefNum", existing(office["RefNum"], F.nullif(ref_num, F.lit("")))).withField(
+                "ExpectedDateTimeOfArrival", existing(office["ExpectedDateTimeOfArrival"], stamp)
+            ),
         )
         .withField("Consignor", with_number(d["Consignor"]))
         .withField("Consignee", with_number(d["Consignee"]))
-        .withField("LodgingPerson.TIN", existing(d["LodgingPerson"]["TIN"], tin))
-        .withField("Carrier.TIN", existing(d["Carrier"]["TIN"], tin))
+        .withField("LodgingPerson", _with_tin(d["LodgingPerson"], tin))
+        .withField("Carrier", _with_tin(d["Carrier"], tin))
     )
     bad = iso_date(arrival).isNull()
     return (
@@ -84,15 +95,17 @@ def batch_update(docs: DataFrame, values: dict[str, Column]) -> DataFrame:
     ``changed``.
     """
     d = F.col(DECL)
-    new = d
+    old_office = d["CustOfficeOfFirstEntry"]
+    new, office = d, old_office
     for tag in ("IdeOfMeaOfTraCro", "ConveyanceRefNum", "DeclPlace"):
         if tag in values:
             new = new.withField(tag, _set(d[tag], values[tag]))
     for tag in ("RefNum", "ExpectedDateTimeOfArrival"):
         if tag in values:
-            new = new.withField(f"CustOfficeOfFirstEntry.{tag}", _set(d["CustOfficeOfFirstEntry"][tag], values[tag]))
+            office = office.withField(tag, _set(old_office[tag], values[tag]))
     new = (
-        new.withField("Consignor", with_number(d["Consignor"]))
+        new.withField("CustOfficeOfFirstEntry", office)
+        .withField("Consignor", with_number(d["Consignor"]))
         .withField("Consignee", with_number(d["Consignee"]))
         .withField("GoodsItem", default_missing_items(d["GoodsItem"]))
     )
@@ -161,13 +174,15 @@ def gb_rewrite(
         d.withField("IdeOfMeaOfTraCro", _set(d["IdeOfMeaOfTraCro"], imo))
         .withField("ConveyanceRefNum", _set(d["ConveyanceRefNum"], voyage))
         .withField("DeclPlace", _set(d["DeclPlace"], F.lit(place)))
-        .withField("CustOfficeOfFirstEntry.RefNum", _set(first["RefNum"], F.lit(office)))
         .withField(
-            "CustOfficeOfFirstEntry.ExpectedDateTimeOfArrival",
-            _set(first["ExpectedDateTimeOfArrival"], F.concat(arrival_day, F.lit("0000"))),
+            "CustOfficeOfFirstEntry",
+            first.withField("RefNum", _set(first["RefNum"], F.lit(office))).withField(
+                "ExpectedDateTimeOfArrival",
+                _set(first["ExpectedDateTimeOfArrival"], F.concat(arrival_day, F.lit("0000"))),
+            ),
         )
-        .withField("LodgingPerson.TIN", _set(d["LodgingPerson"]["TIN"], F.lit(gb_tin)))
-        .withField("Carrier.TIN", _set(d["Carrier"]["TIN"], F.lit(gb_tin)))
+        .withField("LodgingPerson", _with_tin(d["LodgingPerson"], F.lit(gb_tin)))
+        .withField("Carrier", _with_tin(d["Carrier"], F.lit(gb_tin)))
         .withField("GoodsItem", renumber_items(goods))
         .withField(
             "TotalNumberOfItems", existing(d["TotalNumberOfItems"], numbered_items(goods).cast("string"))
@@ -235,11 +250,19 @@ def clean_f10_party(party: Column) -> Column:
 
 def clean_f10(filing: Column) -> Column:
     """Clean the four parties of a filing that already has the new layout."""
-    house = filing["SMFENS2FilingBody"]["ConsignmentMasterLevel"]["ConsignmentHouseLevel"]
-    at = "SMFENS2FilingBody.ConsignmentMasterLevel.ConsignmentHouseLevel"
-    return (
-        filing.withField(f"{at}.Consignee", clean_f10_party(house["Consignee"]))
-        .withField(f"{at}.Consignor", clean_f10_party(house["Consignor"]))
-        .withField(f"{at}.GoodsShipment.Buyer", clean_f10_party(house["GoodsShipment"]["Buyer"]))
-        .withField(f"{at}.GoodsShipment.Seller", clean_f10_party(house["GoodsShipment"]["Seller"]))
+    body = filing["SMFENS2FilingBody"]
+    master = body["ConsignmentMasterLevel"]
+    house = master["ConsignmentHouseLevel"]
+    shipment = house["GoodsShipment"]
+    traders = shipment.withField("Buyer", clean_f10_party(shipment["Buyer"])).withField(
+        "Seller", clean_f10_party(shipment["Seller"])
+    )
+    cleaned = (
+        house.withField("Consignee", clean_f10_party(house["Consignee"]))
+        .withField("Consignor", clean_f10_party(house["Consignor"]))
+        .withField("GoodsShipment", traders)
+    )
+    return filing.withField(
+        "SMFENS2FilingBody",
+        body.withField("ConsignmentMasterLevel", master.withField("ConsignmentHouseLevel", cleaned)),
     )
