@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -41,10 +42,12 @@ def local_session(cores: str | int = "*", app: str = "ensspark", partitions: int
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder below the cluster's shared checkpoint location.
 
-    The location comes from ``spark.checkpoint.dir``; without one the caller has to set it, because
-    a machine-local folder would not be visible to the executors of a cluster.
+    The location comes from ``spark.checkpoint.dir``. Only a local session may go without: there, a
+    temporary folder takes its place. On a cluster a machine-local folder would not be shared.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
+        root = tempfile.mkdtemp(prefix="ensspark-")
     return f"{root.rstrip('/')}/ensspark/{name}-{uuid.uuid4().hex}"

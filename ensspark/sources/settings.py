@@ -20,8 +20,14 @@ def read_mapping(spark: SparkSession, path: str) -> DataFrame:
     return settings.select(F.explode("port_mappings").alias("port", "ref_num"))
 
 
+# A settings file is one JSON object. Larger mappings belong in a table.
+MAX_PORTS = 100_000
+
+
 def write_mapping(mapping: DataFrame, path: str) -> None:
-    """One JSON object; the mapping is a settings file, a few rows by nature."""
+    """Write the mapping as one JSON object, after a check that it has the size of a settings file."""
+    if mapping.limit(MAX_PORTS + 1).count() > MAX_PORTS:
+        raise ValueError(f"more than {MAX_PORTS} ports do not fit a settings file")
     entries = F.array_sort(F.collect_list(F.struct("port", "ref_num")))
     whole = mapping.agg(F.map_from_entries(entries).alias("port_mappings"))
     whole.coalesce(1).write.mode("overwrite").json(path)
