@@ -7,11 +7,11 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ensspark.functions.values import blank, iso_date, strip
-from ensspark.operators.numbering import bucket_of, next_ids, number_rows
+from ensspark.operators.numbering import bucket_of, next_ids, number_all
 from ensspark.operators.tracker import checklist_codes, first_arrivals
 
 DUPLICATE_VESSEL = "Vessel with this name already exists."
@@ -127,9 +127,7 @@ def insert_voyages(
     owners = new_voyages.select("seq", F.col("id").alias("voyage_id"))
     rows = calls.filter(used).join(owners, "seq")
     start = entries.agg(F.coalesce(F.max("id"), F.lit(0)).alias("id")).scalar()
-    numbered = number_rows(
-        rows, "_n", [], [bucket_of(F.col("seq"), 1 << 16), bucket_of(F.col("pos"))], ["seq", "pos"]
-    )
+    numbered = number_all(rows, "_n", "seq", [bucket_of(F.col("pos"))], ["pos"])
     new_entries = numbered.select(
         (F.col("_n") + start).alias("id"),
         "voyage_id",
@@ -254,39 +252,18 @@ def clone_voyages(
     start = entries.agg(F.coalesce(F.max("id"), F.lit(0)).alias("id")).scalar()
     # Ranges by day and coarse entry id: not even a clone of a huge voyage lands in one task.
     ranges = [F.col("arrival_date"), bucket_of(F.col("_old_id"), 1 << 30)]
-    new_entries = (
-        number_rows(rows, "_n", ["seq"], ranges, ["arrival_date", "_old_id"])
-        .join(_request_offsets(rows), "seq")
-        .select(
-            (F.col("_n") + F.col("_before") + start).alias("id"),
-            F.col("_new_voyage").alias("voyage_id"),
-            "port",
-            F.date_add("arrival_date", F.col("_shift")).alias("arrival_date"),
-            F.lit(False).alias("is_declared"),
-            F.lit(None).cast("string").alias("uploaded_files"),
-            "seq",
-        )
+    new_entries = number_all(rows, "_n", "seq", ranges, ["arrival_date", "_old_id"]).select(
+        (F.col("_n") + start).alias("id"),
+        F.col("_new_voyage").alias("voyage_id"),
+        "port",
+        F.date_add("arrival_date", F.col("_shift")).alias("arrival_date"),
+        F.lit(False).alias("is_declared"),
+        F.lit(None).cast("string").alias("uploaded_files"),
+        "seq",
     )
     return new_voyages, new_entries, checked.select("seq", "voyage_id", "ok", "message")
 
 
-def _request_offsets(rows: DataFrame) -> DataFrame:
-    """Rows that belong to earlier requests, per request."""
-    sizes = rows.groupBy("seq").agg(F.count(F.lit(1)).alias("_size")).withColumn("_range", bucket_of(F.col("seq")))
-    earlier = [Window.unboundedPreceding, -1]
-    per_range = sizes.groupBy("_range").agg(F.sum("_size").alias("_range_size"))
-    starts = per_range.select(
-        "_range",
-        F.coalesce(F.sum("_range_size").over(Window.orderBy("_range").rowsBetween(*earlier)), F.lit(0)).alias("_start"),
-    )
-    inside = Window.partitionBy("_range").orderBy("seq").rowsBetween(*earlier)
-    return (
-        sizes.withColumn("_inside", F.coalesce(F.sum("_size").over(inside), F.lit(0)))
-        .join(starts, "_range")
-        .select("seq", (F.col("_start") + F.col("_inside")).alias("_before"))
-    )
-
-
 # --- port mapping -------------------------------------------------------------------------------
 
 

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Rows of one integer bucket: small enough to sort in one task, few enough buckets per key.
-BUCKET_WIDTH = 1 << 20
+# Integers per bucket: few enough rows to sort in one task, few enough buckets to count in one.
+BUCKET_WIDTH = 1 << 16
 
 
 def bucket_of(number: Column, width: int = BUCKET_WIDTH) -> Column:
-    """Order-preserving bucket of a unique integer: holds at most ``width`` rows of a key."""
-    return F.floor(number / F.lit(width)).cast("long")
+    """Order-preserving bucket of an integer: its start. Exact for every long value."""
+    return number - F.pmod(number, F.lit(width))
 
 
 def number_rows(
@@ -39,6 +39,36 @@ def number_rows(
     )
 
 
+def number_all(
+    df: DataFrame, name: str, group: str, buckets: list[Column], order: list[str]
+) -> DataFrame:
+    """Number all rows 1..n by ``group`` (an integer) and, inside one, in the given order.
+
+    As ``number_rows``, but the numbers run on from group to group. The prefix sums over the range
+    counts are taken in two steps, inside runs of groups and over the runs.
+    """
+    cols = [f"_bucket{i}" for i in range(len(buckets))]
+    cut = df.withColumns(dict(zip(cols, buckets)))
+    counts = cut.groupBy(group, *cols).agg(F.count(F.lit(1)).alias("_rows")).withColumn("_run", bucket_of(F.col(group)))
+    before = (Window.unboundedPreceding, -1)
+    runs = counts.groupBy("_run").agg(F.sum("_rows").alias("_size"))
+    over_runs = Window.orderBy("_run").rowsBetween(*before)
+    starts = runs.select("_run", F.coalesce(F.sum("_size").over(over_runs), F.lit(0)).alias("_start"))
+    in_run = Window.partitionBy("_run").orderBy(group, *cols).rowsBetween(*before)
+    offsets = (
+        counts.withColumn("_earlier", F.coalesce(F.sum("_rows").over(in_run), F.lit(0)))
+        .join(starts, "_run")
+        .select(group, *cols, (F.col("_start") + F.col("_earlier")).alias("_offset"))
+    )
+    inside = Window.partitionBy(group, *cols).orderBy(*order)
+    return (
+        cut.withColumn("_rank", F.row_number().over(inside))
+        .join(offsets, [group, *cols])
+        .withColumn(name, (F.col("_offset") + F.col("_rank")).cast("long"))
+        .drop(*cols, "_rank", "_offset")
+    )
+
+
 def next_ids(df: DataFrame, existing: DataFrame, order: str, last_id: int | None = None) -> DataFrame:
     """Give new rows ids that continue those of ``existing``, in the order of a unique integer.
 

@@ -39,6 +39,21 @@ def test_numbering_with_a_hot_key_spans_buckets(spark):
     assert rows(out.filter("k <> 'hot'"), "k", "pos", "n") == [("a", 1, 1), ("a", 3, 2), ("b", 9, 1)]
 
 
+def test_numbering_runs_on_across_groups_and_ranges(spark):
+    big = spark.range(0, 300).select(F.lit(70000).cast("long").alias("seq"), F.col("id").alias("pos"))
+    small = spark.createDataFrame([(1, 5), (1, 900), (70001, 2)], "seq long, pos long")
+    df = big.unionByName(small)
+    out = numbering.number_all(df, "n", "seq", [numbering.bucket_of(F.col("pos"), 16)], ["pos"])
+    got = [(r.seq, r.pos) for r in out.orderBy("n").collect()]
+    assert got == sorted((r.seq, r.pos) for r in df.collect())
+    assert sorted(r.n for r in out.collect()) == list(range(1, 304))
+
+
+def test_buckets_are_exact_for_large_and_negative_numbers(spark):
+    df = spark.createDataFrame([(2**62 + 1,), (-1,), (0,)], "x long").select(numbering.bucket_of(F.col("x"), 16).alias("b"))
+    assert [r.b for r in df.collect()] == [2**62, -16, 0]
+
+
 def test_insert_vessels_rejects_repeats(spark, store):
     new = spark.createDataFrame(
         [(1, "Beta", "x"), (2, "Gamma", "3"), (3, "gamma", "4"), (4, "Gamma", "5")], "seq long, name string, imo_number string"
