@@ -57,6 +57,10 @@ def accent_map() -> tuple[str, str]:
     return "".join(source), "".join(target)
 
 
+def is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
+
+
 def repair_encoding(text: Column) -> Column:
     for garbled, letter in ENCODING_REPAIRS.items():
         text = F.replace(text, F.lit(garbled), F.lit(letter))
@@ -64,14 +68,13 @@ def repair_encoding(text: Column) -> Column:
 
 
 def strip_accents(text: Column) -> Column:
-    """Drop accents; plain ASCII text takes the short way."""
     source, target = accent_map()
-    bare = F.regexp_replace(F.translate(text, source, target), r"\p{M}", "")
-    return F.when(text.rlike(r"[^\x00-\x7F]"), bare).otherwise(text)
+    return F.regexp_replace(F.translate(text, source, target), r"\p{M}", "")
 
 
 def _plain(text: Column) -> Column:
-    return strip_accents(repair_encoding(text))
+    """Repaired text without accents; ASCII text has neither to repair and takes the short way."""
+    return F.when(is_ascii(text), text).otherwise(strip_accents(repair_encoding(text)))
 
 
 def clean(text: Column) -> Column:

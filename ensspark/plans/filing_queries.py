@@ -252,8 +252,9 @@ def lookups(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def _converted(spark: SparkSession, sf_dir: str) -> DataFrame:
     types, hs_codes = lookups(spark, sf_dir)
+    # The conversion reads its documents once per lookup: land them, as after parsing XML.
     return f10.convert(
-        decl.documents(spark, sf_dir),
+        sinks.land(decl.documents(spark, sf_dir), "declarations"),
         routes=vessel_routes(spark),
         flags=imo_flags(spark),
         issued=F.lit(ISSUED).cast("timestamp_ntz"),
