@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -40,14 +39,10 @@ def local_session(cores: str | int = "*", app: str = "ensspark", partitions: int
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below the cluster's shared checkpoint location.
+    """A new folder that driver and executors share, for results that later steps read again.
 
-    The location comes from ``spark.checkpoint.dir``. Only a local session may go without: there, a
-    temporary folder takes its place. On a cluster a machine-local folder would not be shared.
+    It lies below ``spark.checkpoint.dir``, or below the warehouse where that is unset. Whoever sets the location
+    also cleans it.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        root = tempfile.mkdtemp(prefix="ensspark-")
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{root.rstrip('/')}/ensspark/{name}-{uuid.uuid4().hex}"

@@ -1,10 +1,11 @@
 import pytest
 
 import __spark_entry__ as contract
+from ensspark.plans import catalog
 from tests.oracle import compare, connect
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
+QUERIES, ORACLES = catalog.QUERIES, catalog.ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -21,5 +22,10 @@ def test_query_matches_sql(spark, duck, name):
     assert compare(spark, duck, QUERIES[name], ORACLES[name], SF_DIR) > 0
 
 
+def test_the_contract_registers_them_all():
+    assert set(QUERIES) <= set(contract.queries())
+    assert set(ORACLES) <= set(contract.oracle_sql())
+
+
 def test_entry_has_rows(spark):
     assert contract.entry(spark).limit(1).count() == 1
