@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
+import sys
 
+import xxhash
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +17,11 @@ BATCH_BYTES = "16m"
 
 
 def prepared(spark: SparkSession) -> SparkSession:
-    """The session with the settings that the operators rely on."""
+    """The session with the settings that the operators rely on.
+
+    Functions travel to the executors by value, so the package need not be installed there.
+    """
+    cloudpickle.register_pickle_by_value(sys.modules[__package__])
     tune(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
@@ -39,6 +45,24 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").select(*columns)
 
 
+class Smallest:
+    """The n distinct texts with the smallest hashes seen so far: a sample that does not depend on the partitions."""
+
+    def __init__(self, n: int):
+        self.n, self.kept, self.edge = n, {}, 1 << 64
+
+    def add(self, text: str) -> None:
+        h = xxhash.xxh3_64_intdigest(text)
+        if h < self.edge:
+            self.kept[text] = h
+            if len(self.kept) >= 2 * self.n:
+                self.kept = dict(sorted(self.kept.items(), key=lambda x: (x[1], x[0]))[: self.n])
+                self.edge = max(self.kept.values())
+
+    def rows(self) -> list[tuple[str, int]]:
+        return [(t, h >> 1) for t, h in sorted(self.kept.items(), key=lambda x: (x[1], x[0]))[: self.n]]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -46,7 +70,3 @@ def partitions(spark: SparkSession) -> int:
 def salted(key: str, n: int) -> F.Column:
     """Which of n parts of a hot group a row belongs to."""
     return F.pmod(F.xxhash64(F.col(key)), F.lit(n)).cast("int")
-
-
-def fresh(prefix: str = "t") -> str:
-    return f"{prefix}_{uuid.uuid4().hex[:8]}"

@@ -1,10 +1,13 @@
 """Registered queries of the subpackage and their SQL."""
 
-from ensspark.llm import op01_urls, op03_warc, op07_quality, op09_mixing
+from ensspark.llm import op01_urls, op02_pii, op03_warc, op04_ngram_join, op06_secrets, op07_quality, op09_mixing
 
 QUERIES = {
     "op1_url_filter": op01_urls.query,
+    "op2_personal_data": op02_pii.query,
     "op3_warc": op03_warc.query,
+    "op4_ngram_join": op04_ngram_join.query,
+    "op6_secrets": op06_secrets.query,
     "op7_quality_rules": op07_quality.query,
     "op9_mixing": op09_mixing.query,
 }
