@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ensspark.llm import op07_quality, op09_mixing
+from ensspark.llm import op04_ngram_join, op06_secrets, op07_quality, op08_sentencepiece, op09_mixing
 from ensspark.llm.common import landed, prepared, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -16,13 +17,40 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return op07_quality.kept_documents(docs.select(*COLUMNS))
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, the one with the smallest id."""
+    prepared(spark)
+    return op04_ngram_join.one_of_each(docs.select(*COLUMNS)).select(*COLUMNS)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with a mask in place of every secret; n_chars follows the text."""
+    prepared(spark)
+    rows = op06_secrets.redacted(docs.select(*COLUMNS))
+    return rows.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*COLUMNS)
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as many times as the mix takes it."""
     prepared(spark)
     return op09_mixing.copied(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
-STAGES = [("quality rules", quality), ("mixing", mixing)]
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of every document's best segmentation, ready for training."""
+    prepared(spark)
+    rows = op08_sentencepiece.encoded(docs.select(*COLUMNS))
+    return rows.select("row.doc_id", "row.lang", "row.source", "n_tokens", "ids", "score", "round_trip")
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("secret scans", secrets),
+    ("mixing sources", mixing),
+    ("SentencePiece encoding", encoding),
+]
+# The learnt models, the components and the pieces' lattice have no SQL; tests hold every stage against brute force.
 ORACLE_SQL = None
 
 
