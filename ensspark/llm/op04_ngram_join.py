@@ -39,7 +39,7 @@ FRAGMENT = 2_500_000  # shingles of a fragment, about
 HOT = 64  # classes of one slice that make a shingle hot
 SEGMENTS = 4  # fragments in which candidate pairs are counted
 SALTS = 8
-HUB_ROUNDS = 2
+HUBS = [1, 3, 8]  # hubs that a class is compared with, round by round, before the complete comparison
 LOW = np.uint64((1 << 56) - 1)
 HOT_RANK = np.uint64(255)
 
@@ -212,37 +212,52 @@ def survivors(docs: DataFrame, text: str, shingles: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prefix, segments = [], []
+            prefix, segments, alive = [], [], []
             for n, live in zip(batch[1].to_pylist(), batch[2].to_pylist(), strict=True):
                 records = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in live]))
                 prefix.append(records[: len(records) - least_overlap(n) + 1].view(np.int64))
+                alive.append(len(records))
                 own = (records & LOW) >> np.uint64(54)
                 segments.append([records[own == f].tobytes() for f in range(SEGMENTS)])
-            arrays = [batch[0], batch[1], pa.array(prefix, pa.list_(pa.int64())), pa.array(segments, pa.list_(pa.binary()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["class", "n", "prefix", "segments"])
+            arrays = [batch[0], batch[1], pa.array(alive, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(segments, pa.list_(pa.binary()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["class", "n", "live", "prefix", "segments"])
 
-    found = whole.select("class", "n", "live").mapInArrow(run, "class long, n long, prefix array<long>, segments array<binary>")
+    found = whole.select("class", "n", "live").mapInArrow(run, "class long, n long, live long, prefix array<long>, segments array<binary>")
     return landed(found, "join-survivors")
 
 
-def may_link(a: Column, b: Column) -> Column:
-    """Sizes of sets that can reach the threshold."""
-    return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
+def may_link(n: Column, rest: Column, n2: Column, rest2: Column) -> Column:
+    """Whether two classes can still link: their sizes fit, and so do the shingles from the common one on.
+
+    If this is their first common shingle, they share no more than it and what comes after it in both. If it is not,
+    the first one decides about the pair, so none is lost.
+    """
+    fit = F.least(n, n2) * 100 >= F.greatest(n, n2) * PERCENT
+    return fit & ((1 + F.least(rest, rest2)) * (100 + PERCENT) >= (n + n2) * PERCENT)
 
 
 def verified(pairs: DataFrame, segments: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link: overlaps counted by segment, then summed. Landed."""
-    left = segments.select(F.col("class").alias("a"), F.col("n").alias("na"), "f", F.col("segment").alias("sa"))
-    right = segments.select(F.col("class").alias("b"), F.col("n").alias("nb"), "f", F.col("segment").alias("sb"))
-    both = landed(pairs, "join-pairs").join(left, "a").join(right, ["b", "f"]).select("a", "b", "na", "nb", "sa", "sb")
+    """The pairs (a, b) that link: overlaps counted by segment, each on its own, then summed. Landed."""
+    left = segments.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("segments").alias("sa"))
+    right = segments.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("segments").alias("sb"))
+    both = landed(pairs, "join-pairs").join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            common = [len(np.intersect1d(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), assume_unique=True)) for x, y in zip(batch[4], batch[5], strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(common, pa.int64())], names=["a", "b", "na", "nb", "common"])
-
-    counted = both.mapInArrow(run, "a long, b long, na long, nb long, common long").groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
-    return landed(counted.where(100 * F.col("common") >= PERCENT * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b"), "join-links")
+            sides = [batch[i].flatten() for i in (4, 5)]
+            size = [pc.binary_length(x).to_numpy() // 8 for x in sides]
+            flat = [np.frombuffer(b"".join(x.to_pylist()), np.uint64) for x in sides]
+            # a shingle and the row and segment that it stands in make a key; one that is met twice is common
+            owner = [np.repeat(np.arange(len(s), dtype=np.uint64), s) for s in size]
+            keys = np.concatenate([np.stack([o, f]) for o, f in zip(owner, flat, strict=True)], axis=1)
+            keys = keys[:, np.lexsort((keys[1], keys[0]))]
+            twice = (keys[0, 1:] == keys[0, :-1]) & (keys[1, 1:] == keys[1, :-1])
+            partial = np.bincount(keys[0, 1:][twice].astype(np.int64), minlength=len(batch) * SEGMENTS).reshape(-1, SEGMENTS)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(partial.tolist(), pa.list_(pa.int64()))], names=["a", "b", "na", "nb", "partial"])
+
+    counted = both.mapInArrow(run, "a long, b long, na long, nb long, partial array<long>")
+    common = F.aggregate("partial", F.lit(0).cast("long"), lambda x, y: x + y)
+    return landed(counted.where(100 * common >= PERCENT * (F.col("na") + F.col("nb") - common)).select("a", "b"), "join-links")
 
 
 def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -282,32 +297,39 @@ def _open(postings: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _against(rows: DataFrame, few: DataFrame) -> DataFrame:
-    """Distinct pairs of a row and a few others of its shingle that are in another component and of fit size.
+    """Rows with others of their shingle that are in another component and may link.
 
     A hot shingle's rows are dealt to several tasks, the few others are repeated there.
     """
     salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    other = few.select("shingle", F.col("class").alias("c2"), F.col("n").alias("n2"), F.col("label").alias("l2"), salt)
-    found = rows.withColumn("salt", salted("class", SALTS)).join(other, ["shingle", "salt"]).where((F.col("label") != F.col("l2")) & may_link(F.col("n"), F.col("n2")))
-    return found.select(F.least("class", "c2").alias("a"), F.greatest("class", "c2").alias("b")).distinct()
+    renamed = [F.col(c).alias(c[0] + "2" if c != "rest" else "rest2") for c in few.columns if c not in ("shingle", "i")]
+    other = few.select("shingle", *renamed, *[c for c in few.columns if c == "i"], salt)
+    fit = (F.col("label") != F.col("l2")) & may_link(*map(F.col, ("n", "rest", "n2", "rest2")))
+    return rows.withColumn("salt", salted("class", SALTS)).join(other, ["shingle", "salt"]).where(fit)
 
 
 def components(keep: DataFrame, labels: DataFrame) -> DataFrame:
     """Final labels of the surviving classes."""
-    postings = landed(keep.select("class", "n", F.explode("prefix").alias("shingle")), "join-postings")
-    segments = landed(keep.select("class", "n", F.posexplode("segments").alias("f", "segment")), "join-segments")
-    for k in range(HUB_ROUNDS + 1):
+    spots = keep.select("class", "n", "live", F.posexplode("prefix").alias("at", "shingle"))
+    postings = landed(spots.select("class", "n", (F.col("live") - F.col("at") - 1).alias("rest"), "shingle"), "join-postings")
+    segments = keep.select("class", "n", "segments")
+    for k, hubs in enumerate([*HUBS, 0]):
         rows = _open(postings, labels)
         if rows.isEmpty():
             break
-        if k < HUB_ROUNDS:
-            hubs = rows.groupBy("shingle").agg(F.min(F.struct(F.xxhash64("class", F.lit(k)).alias("h"), "class", "n", "label")).alias("hub"))
-            few = hubs.select("shingle", "hub.class", "hub.n", "hub.label")
-        else:  # completely: all that are not in the shingle's largest component, against all
-            size = rows.groupBy("shingle", "label").agg(F.count("*").alias("c"))
-            large = size.groupBy("shingle").agg(F.max(F.struct("c", "label")).alias("top")).select("shingle", F.col("top.label").alias("large"))
-            few = rows.join(large, "shingle").where("label <> large").drop("large")
-        labels = relabelled(labels, verified(_against(rows, few), segments))
+        size = rows.groupBy("shingle", "label").agg(F.count("*").alias("c"))
+        large = size.groupBy("shingle").agg(F.max(F.struct("c", "label")).alias("top")).select("shingle", F.col("top.label").alias("large"))
+        small = landed(rows.join(large, "shingle").where("label <> large").drop("large"), "join-small")
+        if hubs:  # each class outside against a few hubs: of its shingles' hubs those with the smallest hashes
+            h = [F.xxhash64("class", F.lit(k), F.lit(i)) for i in range(hubs)]
+            least = [F.min(F.struct(x.alias("h"), "class", "n", "rest", "label")) for x in h]
+            few = rows.groupBy("shingle").agg(F.array(*least).alias("hubs")).select("shingle", F.posexplode("hubs").alias("i", "hub"))
+            found = _against(small, few.select("shingle", "hub.*", "i")).groupBy("class", "i").agg(F.min(F.struct("h2", "c2")).alias("hub"))
+            pairs = found.select("class", F.col("hub.c2").alias("c2"))
+        else:  # completely: all that are outside of the shingle's largest component, against all
+            pairs = _against(rows, small)
+        pairs = pairs.select(F.least("class", "c2").alias("a"), F.greatest("class", "c2").alias("b")).distinct()
+        labels = relabelled(labels, verified(pairs, segments))
     return labels
 
 
