@@ -84,7 +84,8 @@ def cuts(docs: DataFrame) -> DataFrame:
         rows = rows.withColumn(f"b{k}", b)
         inside = rows if k == 1 else rows.join(edge.select(*keys), keys, "left_semi")
         own = Window.partitionBy("sid").orderBy(f"b{k}")
-        sums = inside.groupBy("sid", f"b{k}").agg(F.sum("words").alias("n")).withColumn("upto", F.sum("n").over(own))
+        # landed, so that rows are summed by bin before the bins of a source meet
+        sums = landed(inside.groupBy("sid", f"b{k}").agg(F.sum("words").alias("n")), "mix-bins").withColumn("upto", F.sum("n").over(own))
         found = sums.join(edge.select("sid", "need", "before"), "sid").where("before + upto - n < need AND need <= before + upto")
         keys = [*keys, f"b{k}"] if k == 1 else ["sid", "b1", "b2"]
         back = found.select("sid", "need", (F.col("before") + F.col("upto") - F.col("n")).alias("before"), f"b{k}")
