@@ -19,34 +19,24 @@ from ensspark.llm.common import landed, prepared, table
 
 # Fixed values of the contract.
 MIN_WORDS = 50
-MAX_REPEATED = 0.5
-SYMBOLS = "#*$%&|<>"
-BLANKS = "\t\n\x0b\x0c\r"
+SYMBOLS = "[#*$%&|<>]+"
+BLANK = r"[ \t-\r]+"
 
 SAMPLE_ROWS = 500  # rows on which cost and selectivity are estimated; they decide about the order alone
 
 
 def words(text: Column) -> Column:
     """Runs of characters other than space and 09-0D, as an array."""
-    return F.filter(F.split(F.translate(text, BLANKS, " " * len(BLANKS)), " "), lambda w: w != "")
+    return F.array_remove(F.split(text, BLANK), "")
 
 
-def without(text: Column, characters: str) -> Column:
-    """Number of characters left when some are taken out."""
-    return F.length(F.translate(text, characters, ""))
-
-
-def n_symbols(text: Column) -> Column:
-    return F.length(text) - without(text, SYMBOLS)
-
-
-def word_chars(text: Column) -> Column:
-    return without(text, " " + BLANKS)
+def length_without(text: Column, pattern: str) -> Column:
+    return F.length(F.regexp_replace(text, pattern, ""))
 
 
 def lines(text: Column) -> Column:
     """Lines that hold a word."""
-    return F.filter(F.split(text, "\n"), lambda line: F.trim(F.translate(line, BLANKS, " " * len(BLANKS))) != "")
+    return F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^ \t-\r]"))
 
 
 def repeats(of: Column) -> Column:
@@ -60,10 +50,33 @@ def windows(of: Column) -> Column:
     return F.slice(every, 1, F.greatest(F.size(of) - 2, F.lit(0)))
 
 
-def repeat_words(grams: Column) -> Column:
-    """Words in windows that are found twice or more: sort the windows, keep those equal to a neighbour, unite them."""
-    spots = F.sort_array(F.transform(grams, lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
-    return F.when(F.size(F.array_distinct(grams)) == F.size(grams), F.lit(0)).otherwise(_covered(spots))
+PLACE_BITS = 24
+PLACE = (1 << PLACE_BITS) - 1
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Evaluate a value once and use it many times, inside one expression."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def sorted_places(grams: Column) -> Column:
+    """The windows' hashes, cut to their upper 40 bits, with the window's place below, sorted as plain numbers."""
+    packed = F.transform(grams, lambda g, i: g.bitwiseAND(F.lit(~PLACE)).bitwiseOR(i.cast("long")))
+    return F.when(F.size(grams) > PLACE, F.array().cast("array<bigint>")).otherwise(F.sort_array(packed))
+
+
+def repeat_words(grams: Column, places: Column) -> Column:
+    """Words in windows that are found twice or more.
+
+    Windows that agree with a neighbour in the upper bits of the hash are candidates; these alone are sorted by
+    the whole hash. Texts with more windows than a place can number are sorted as a whole.
+    """
+    same = lambda a, b: F.shiftright(a, PLACE_BITS) == F.shiftright(b, PLACE_BITS)
+    likely = F.filter(places, lambda x, i: same(x, F.get(places, i - 1)) | same(x, F.get(places, i + 1)))
+    found = F.transform(likely, lambda x: F.struct(F.get(grams, x.bitwiseAND(F.lit(PLACE)).cast("int")).alias("g"), x.bitwiseAND(F.lit(PLACE)).cast("int").alias("i")))
+    everything = F.transform(grams, lambda g, i: F.struct(g.alias("g"), i.alias("i")))
+    spots = F.sort_array(F.when(F.size(grams) > PLACE, everything).otherwise(found))
+    return F.when(F.size(F.array_distinct(grams)) == F.size(grams), F.lit(0)).otherwise(let(spots, _covered))
 
 
 def _covered(spots: Column) -> Column:
@@ -73,56 +86,67 @@ def _covered(spots: Column) -> Column:
     return F.size(F.array_distinct(F.flatten(F.transform(F.array_distinct(places), lambda i: F.array(i, i + 1, i + 2)))))
 
 
-def measured(docs: DataFrame, keep: Sequence[str], text: str = "text") -> DataFrame:
-    """The columns to keep, the text (null: empty) as ``body`` and all measures of the contract.
+class Measures:
+    """What rules judge by, each an expression over the text (never null), evaluated only where a rule asks for it."""
 
-    Each step is a projection of its own, so that arrays are built once for each row.
-    """
+    def __init__(self, body: Column):
+        self.words = words(body)
+        self.lines = lines(body)
+        self.n_words = F.size(self.words)
+        self.word_chars = F.length(F.array_join(self.words, ""))
+        self.n_symbols = F.length(body) - length_without(body, SYMBOLS)
+        self.n_letters = length_without(body, r"[^\p{L}]+")
+        self.n_capitals = F.length(body) - length_without(body, r"\p{Lu}+")
+        self.n_lines = F.size(self.lines)
+        self.n_dup_lines = repeats(self.lines)
+        self.n_repeat_words = let(self.words, lambda w: let(windows(w), lambda g: let(sorted_places(g), lambda p: repeat_words(g, p))))
+
+
+class Known:
+    """The same measures where they are columns already."""
+
+    def __getattr__(self, name: str) -> Column:
+        return F.col(name)
+
+
+def measured(docs: DataFrame, keep: Sequence[Column], text: str = "text") -> DataFrame:
+    """The columns to keep and all measures. Each step is a projection, so that arrays are built once for each row."""
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(*keep, body.alias("body")).select("*", words(F.col("body")).alias("w"), lines(F.col("body")).alias("l"))
-    rows = rows.select("*", windows(F.col("w")).alias("g"))
+    rows = docs.select(F.struct(*keep).alias("kept"), body.alias("body"))
+    rows = rows.select("*", words(F.col("body")).alias("words"), lines(F.col("body")).alias("lines"))
+    rows = rows.select("*", windows(F.col("words")).alias("grams"))
+    rows = rows.select("*", sorted_places(F.col("grams")).alias("places"))
+    of = Measures(F.col("body"))
     return rows.select(
-        *keep,
-        "body",
-        F.size("w").cast("long").alias("n_words"),
-        word_chars(F.col("body")).cast("long").alias("word_chars"),
-        n_symbols(F.col("body")).cast("long").alias("n_symbols"),
-        F.size("l").cast("long").alias("n_lines"),
-        repeats(F.col("l")).cast("long").alias("n_dup_lines"),
-        repeat_words(F.col("g")).cast("long").alias("n_repeat_words"),
+        "kept.*",
+        F.size("words").alias("n_words"),
+        F.length(F.array_join("words", "")).alias("word_chars"),
+        *[getattr(of, name).alias(name) for name in ("n_symbols", "n_letters", "n_capitals")],
+        F.size("lines").alias("n_lines"),
+        repeats(F.col("lines")).alias("n_dup_lines"),
+        repeat_words(F.col("grams"), F.col("places")).alias("n_repeat_words"),
     )
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A name and the condition, over the text column (never null), that rejects a text."""
+    """A name and the condition, over the measures, that rejects a text."""
 
     name: str
-    rejects: Callable[[Column], Column]
-
-
-def _upper_words(text: Column) -> Column:
-    """Words with two capital letters or more and no small one (capitals of any script)."""
-    capital = lambda w: (F.upper(w) == w) & (F.lower(w) != w) & (F.length(w) > 1)
-    return F.size(F.filter(words(text), capital))
-
+    rejects: Callable[[Measures], Column]
 
-def _with_letter(text: Column) -> Column:
-    return F.size(F.filter(words(text), lambda w: F.lower(w) != F.upper(w)))
 
-
-# The method's own rules. Prose passes them by a wide margin.
-RULES = [
-    Rule("symbols", lambda t: n_symbols(t) * 10 > F.size(words(t))),
-    Rule("shouting", lambda t: _upper_words(t) * 2 > F.size(words(t))),
-    Rule("no letters", lambda t: _with_letter(t) * 2 < F.size(words(t))),
-    Rule("long words", lambda t: word_chars(t) > F.size(words(t)) * 25),
-    Rule("repeated lines", lambda t: repeats(lines(t)) * 2 > F.size(lines(t))),
-]
-# The contract's base as rules, for the cascade without the other measures.
+# The contract's base, and the method's own rules; prose passes these by a wide margin.
 BASE_RULES = [
-    Rule("few words", lambda t: F.size(words(t)) < MIN_WORDS),
-    Rule("repeated words", lambda t: repeat_words(windows(words(t))) > F.size(words(t)) * MAX_REPEATED),
+    Rule("few words", lambda m: m.n_words < MIN_WORDS),
+    Rule("repeated words", lambda m: 100 * m.n_repeat_words > 50 * m.n_words),
+]
+RULES = [
+    Rule("symbols", lambda m: 10 * m.n_symbols > m.n_words),
+    Rule("shouting", lambda m: 2 * m.n_capitals > m.n_letters),
+    Rule("no letters", lambda m: 2 * m.n_letters < m.word_chars),
+    Rule("long words", lambda m: m.word_chars > 25 * m.n_words),
+    Rule("repeated lines", lambda m: 2 * m.n_dup_lines > m.n_lines),
 ]
 
 
@@ -155,17 +179,17 @@ def estimate(docs: DataFrame, rules: Sequence[Rule], text: str = "text", rows: i
     base, n, _ = timed(F.length("body") < 0)
     found = []
     for rule in rules:
-        took, _, rejected = timed(rule.rejects(F.col("body")))
+        took, _, rejected = timed(rule.rejects(Measures(F.col("body"))))
         found.append(Estimate(rule, max(took - base, 0.001), rejected / max(n, 1)))
     return sorted(found, key=lambda e: -e.gain)
 
 
-def rejection(body: Column, rules: Sequence[Rule]) -> Column:
+def rejection(measures: Measures, rules: Sequence[Rule]) -> Column:
     """The name of the first rule that rejects, null for none; later rules are not evaluated."""
-    chain = None
-    for rule in rules:
-        chain = F.when(rule.rejects(body), rule.name) if chain is None else chain.when(rule.rejects(body), rule.name)
-    return chain if chain is not None else F.lit(None).cast("string")
+    found = F.lit(None).cast("string")
+    for rule in reversed(rules):
+        found = F.when(rule.rejects(measures), rule.name).otherwise(found)
+    return found
 
 
 def kept_documents(docs: DataFrame, rules: Sequence[Rule] = (*BASE_RULES, *RULES), text: str = "text") -> DataFrame:
@@ -175,18 +199,16 @@ def kept_documents(docs: DataFrame, rules: Sequence[Rule] = (*BASE_RULES, *RULES
     table stays empty; no column is added, so none can clash.
     """
     order = [e.rule for e in estimate(docs, rules, text)]
-    return docs.where(rejection(F.coalesce(F.col(text), F.lit("")), order).isNull())
+    return docs.where(rejection(Measures(F.coalesce(F.col(text), F.lit(""))), order).isNull())
 
 
 def judged(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
     """One row per document: the key, the measures, whether the base fails, whether it is kept."""
     order = [e.rule for e in estimate(docs, rules, text)]
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    base = rejection(Known(), BASE_RULES).isNotNull()
     rows = measured(docs, [F.col(key).alias("doc_id")], text)
-    return rows.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"), (~failed & rejection(F.col("body"), order).isNull()).alias("kept"),
-    )
+    counts = [F.col(c).cast("long").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    return rows.select("doc_id", *counts, base.alias("base_failed"), (~base & rejection(Known(), order).isNull()).alias("kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,23 +218,22 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
-w AS (SELECT rid, doc_id, t, list_filter(string_split(translate(t, chr(9)||chr(10)||chr(11)||chr(12)||chr(13), '     '), ' '), lambda x: x <> '') AS w,
-             list_filter(string_split(t, chr(10)), lambda x: trim(translate(x, chr(9)||chr(10)||chr(11)||chr(12)||chr(13), '     ')) <> '') AS l FROM d),
+w AS (SELECT rid, doc_id, t, list_filter(regexp_split_to_array(t, '[ \t-\r]+'), lambda x: x <> '') AS w,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \t-\r]')) AS l FROM d),
 g AS (SELECT rid, i, w[i] || ' ' || w[i+1] || ' ' || w[i+2] AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
 c AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS n FROM g),
 r AS (SELECT rid, count(DISTINCT i + k) AS n FROM c, (VALUES (0), (1), (2)) v(k) WHERE n > 1 GROUP BY rid),
 m AS (
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words,
-       CAST(length(translate(t, ' '||chr(9)||chr(10)||chr(11)||chr(12)||chr(13), '')) AS BIGINT) AS word_chars,
-       CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+       CAST(length(regexp_replace(t, '[ \t-\r]+', '', 'g')) AS BIGINT) AS word_chars,
+       CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
        CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, len(l) AS n_lines,
        CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words,
-       len(list_filter(w, lambda x: upper(x) = x AND lower(x) <> x AND length(x) > 1)) AS n_upper,
-       len(list_filter(w, lambda x: upper(x) <> lower(x))) AS n_letter
+       length(regexp_replace(t, '[^\p{L}]+', '', 'g')) AS n_letters, length(t) - length(regexp_replace(t, '\p{Lu}+', '', 'g')) AS n_capitals
 FROM w LEFT JOIN r USING (rid))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR n_symbols * 10 > n_words OR n_upper * 2 > n_words
-            OR n_letter * 2 < n_words OR word_chars > n_words * 25 OR n_dup_lines * 2 > n_lines) AS kept
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 10 * n_symbols > n_words OR 2 * n_capitals > n_letters
+            OR 2 * n_letters < word_chars OR word_chars > 25 * n_words OR 2 * n_dup_lines > n_lines) AS kept
 FROM m
 """
