@@ -136,5 +136,6 @@ def normalize_document(text: Column) -> Column:
 
 
 def redact_password(xml: Column) -> Column:
-    """Take the sender's password element out of raw document text."""
-    return F.regexp_replace(xml, r"(?s)<RecipientPwd>.*?</RecipientPwd>", "")
+    """Take the sender's password element out of raw document text, up to the end of a text cut inside it."""
+    whole = r"(?is)<((?:[\w.-]+:)?RecipientPwd)\b(?:[^<>]*/>|[^<>]*(?:>.*?(?:</\1\s*>|\z)|\z))"
+    return F.regexp_replace(xml, whole, "")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ensspark.functions.values import blank, iso_date, strip
-from ensspark.operators.numbering import bucket_of, next_ids, number_all
+from ensspark.operators.numbering import bucket_of, last_id_of, next_ids, number_all
 from ensspark.operators.tracker import checklist_codes, first_arrivals
 
 DUPLICATE_VESSEL = "Vessel with this name already exists."
@@ -114,19 +114,22 @@ def insert_voyages(
     checked: DataFrame,
     calls: DataFrame,
     web: bool = False,
+    last_voyage: int | None = None,
+    last_entry: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """New voyage rows and new entry rows of the submissions without a reason against them.
 
+    ``last_voyage`` and ``last_entry`` are the highest ids ever given, for stores that never reuse one.
     Both keep ``seq`` of the submission. Entries start undeclared with an empty file list.
     """
     good = checked.filter(F.size("reasons") == 0)
-    new_voyages = next_ids(good, voyages, "seq").select(
+    new_voyages = next_ids(good, voyages, "seq", last_voyage).select(
         "id", "vessel_id", "voyage_number", "service_name", "seq"
     )
     used = ~blank(F.col("port")) if web else ~blank(F.col("port")) & ~blank(F.col("arrival"))
     owners = new_voyages.select("seq", F.col("id").alias("voyage_id"))
     rows = calls.filter(used).join(owners, "seq")
-    start = entries.agg(F.coalesce(F.max("id"), F.lit(0)).alias("id")).scalar()
+    start = last_id_of(entries, last_entry)
     numbered = number_all(rows, "_n", "seq", [bucket_of(F.col("pos"))], ["pos"])
     new_entries = numbered.select(
         (F.col("_n") + start).alias("id"),
@@ -230,12 +233,16 @@ def check_clones(voyages: DataFrame, entries: DataFrame, requests: DataFrame) ->
 
 
 def clone_voyages(
-    voyages: DataFrame, entries: DataFrame, checked: DataFrame
+    voyages: DataFrame,
+    entries: DataFrame,
+    checked: DataFrame,
+    last_voyage: int | None = None,
+    last_entry: int | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Clone the checked requests with shifted dates: new voyages, new entries, outcome per request.
 
     Clones are undeclared and have no file list. Entry ids follow the order of the requests and,
-    inside one, the order of arrival.
+    inside one, the order of arrival. ``last_voyage`` and ``last_entry`` are the highest ids ever given.
     """
     good = checked.filter("ok").select(
         "seq",
@@ -245,13 +252,13 @@ def clone_voyages(
         "service_name",
         F.datediff("start_date", "first_arrival").alias("_shift"),
     )
-    numbered = next_ids(good, voyages, "seq")
+    numbered = next_ids(good, voyages, "seq", last_voyage)
     new_voyages = numbered.select("id", "vessel_id", "voyage_number", "service_name", "seq")
     calls = entries.select("voyage_id", F.col("id").alias("_old_id"), "port", "arrival_date")
     rows = numbered.select("seq", "voyage_id", F.col("id").alias("_new_voyage"), "_shift").join(calls, "voyage_id")
-    start = entries.agg(F.coalesce(F.max("id"), F.lit(0)).alias("id")).scalar()
-    # Ranges by day and coarse entry id: not even a clone of a huge voyage lands in one task.
-    ranges = [F.col("arrival_date"), bucket_of(F.col("_old_id"), 1 << 30)]
+    start = last_id_of(entries, last_entry)
+    # Ranges by day and entry id: not even a clone of a huge voyage lands in one task.
+    ranges = [F.col("arrival_date"), bucket_of(F.col("_old_id"))]
     new_entries = number_all(rows, "_n", "seq", ranges, ["arrival_date", "_old_id"]).select(
         (F.col("_n") + start).alias("id"),
         F.col("_new_voyage").alias("voyage_id"),

@@ -110,11 +110,11 @@ def _matches(docs: DataFrame, key: str, values: Column, lookup: DataFrame, name:
     """Map column with the lookup rows a document needs, keys in upper case.
 
     Only distinct keys travel to the join. What comes back per document is no larger than the array
-    it came from, which already fits in the row.
+    it came from, which already fits in the row. Documents that share a key share the map.
     """
     word, answer = lookup.columns
     table = lookup.groupBy(F.upper(word).alias("_k")).agg(F.min(answer).alias("_v"))
-    needed = docs.select(key, F.explode(F.array_distinct(values)).alias("_k")).filter("_k IS NOT NULL")
+    needed = docs.select(key, F.explode(F.array_distinct(values)).alias("_k")).filter("_k IS NOT NULL").distinct()
     hits = needed.join(table, "_k").groupBy(key)
     maps = hits.agg(F.map_from_entries(F.collect_list(F.struct("_k", "_v"))).alias(name))
     return docs.join(maps, key, "left")

@@ -69,14 +69,18 @@ def number_all(
     )
 
 
+def last_id_of(existing: DataFrame, last_id: int | None = None) -> Column:
+    """The highest id given so far: the one the caller keeps, or else the highest that is stored."""
+    if last_id is not None:
+        return F.lit(last_id)
+    return existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("id")).scalar()
+
+
 def next_ids(df: DataFrame, existing: DataFrame, order: str, last_id: int | None = None) -> DataFrame:
     """Give new rows ids that continue those of ``existing``, in the order of a unique integer.
 
     ``last_id`` overrides the highest stored id, for stores that never reuse a deleted one.
     """
-    if last_id is None:
-        start = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("id")).scalar()
-    else:
-        start = F.lit(last_id)
+    start = last_id_of(existing, last_id)
     numbered = number_rows(df, "_n", [], [bucket_of(F.col(order))], [order])
     return numbered.withColumn("id", F.col("_n") + start).drop("_n")

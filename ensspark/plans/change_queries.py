@@ -383,9 +383,11 @@ def mapping_rejects(spark, sf_dir):
 @query(
     "mapping_delete",
     f"""WITH {MAPPING_SQL} SELECT * FROM mapping
-      WHERE port NOT IN (SELECT {sql_list(PORTS)}[s_suppkey % {len(PORTS)} + 1] FROM supplier WHERE s_nationkey < 5)""",
+      WHERE port NOT IN (SELECT {sql_list(PORTS)}[s_suppkey % {len(PORTS)} + 1] AS p FROM supplier GROUP BY p
+        HAVING count(*) FILTER (s_acctbal < 0) % 2 = 0)""",
 )
 def mapping_delete(spark, sf_dir):
-    gone = table(spark, sf_dir, "supplier").filter("s_nationkey < 5")
-    ports = gone.select(pick(PORTS, F.col("s_suppkey") % len(PORTS)).alias("port"))
-    return ops.delete_mapping(port_offices(spark), ports)
+    """Ports go whose suppliers in debt are even in number."""
+    port = pick(PORTS, F.col("s_suppkey") % len(PORTS)).alias("port")
+    debts = table(spark, sf_dir, "supplier").groupBy(port).agg(F.count_if(F.col("s_acctbal") < 0).alias("n"))
+    return ops.delete_mapping(port_offices(spark), debts.filter("n % 2 = 0").select("port"))

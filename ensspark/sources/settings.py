@@ -1,33 +1,31 @@
-"""Port mapping kept as a JSON settings file."""
+"""Port mapping kept as JSON: one settings object, or one object per port."""
 
 from __future__ import annotations
 
-from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SCHEMA = "port_mappings map<string,string>"
+OBJECT = "port_mappings map<string,string>"
 MAPPING = "port string, ref_num string"
 
 
 def read_mapping(spark: SparkSession, path: str) -> DataFrame:
-    """``(port, ref_num)`` rows; a missing or broken file gives an empty mapping."""
+    """``(port, ref_num)`` rows of either form; a missing or broken file gives an empty mapping.
+
+    Only a missing path counts as missing: other failures of the storage are raised.
+    """
     try:
-        settings = spark.read.schema(SCHEMA).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
-    except (AnalysisException, Py4JJavaError):
+        whole = spark.read.schema(OBJECT).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+        lines = spark.read.schema(MAPPING).option("mode", "PERMISSIVE").json(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], MAPPING)
-    return settings.select(F.explode("port_mappings").alias("port", "ref_num"))
-
-
-# A settings file is one JSON object. Larger mappings belong in a table.
-MAX_PORTS = 100_000
+    rows = lines.filter("port IS NOT NULL AND ref_num IS NOT NULL")
+    return whole.select(F.explode("port_mappings").alias("port", "ref_num")).unionByName(rows)
 
 
 def write_mapping(mapping: DataFrame, path: str) -> None:
-    """Write the mapping as one JSON object, after a check that it has the size of a settings file."""
-    if mapping.limit(MAX_PORTS + 1).count() > MAX_PORTS:
-        raise ValueError(f"more than {MAX_PORTS} ports do not fit a settings file")
-    entries = F.array_sort(F.collect_list(F.struct("port", "ref_num")))
-    whole = mapping.agg(F.map_from_entries(entries).alias("port_mappings"))
-    whole.coalesce(1).write.mode("overwrite").json(path)
+    """Write the mapping as one JSON object per port, whatever its size."""
+    mapping.select("port", "ref_num").write.mode("overwrite").json(path)

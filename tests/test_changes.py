@@ -157,3 +157,13 @@ def test_mapping(spark):
     assert rows(whole, "port", "ref_num") == [("A", "1"), ("B", "3"), ("D", "4")]
     assert rows(rejected, "seq") == [(2,)]
     assert rows(changes.delete_mapping(whole, whole.filter("port = 'A'")), "port") == [("B",), ("D",)]
+
+
+def test_deleted_ids_are_not_given_again(spark):
+    voyages = spark.createDataFrame([(1, 1, "A", None)], "id long, vessel_id long, voyage_number string, service_name string")
+    entries = spark.createDataFrame([], "id long, voyage_id long, port string, arrival_date date, is_declared boolean, uploaded_files string")
+    checked = spark.createDataFrame([(1, 1, "B", None, [])], "seq long, vessel_id long, voyage_number string, service_name string, reasons array<string>")
+    calls = spark.createDataFrame([(1, 1, "GBLIV", "2025-01-01")], "seq long, pos int, port string, arrival string")
+    new_voyages, new_entries = changes.insert_voyages(voyages, entries, checked, calls, last_voyage=7, last_entry=9)
+    assert [r.id for r in new_voyages.collect()] == [8]
+    assert [(r.id, r.voyage_id) for r in new_entries.collect()] == [(10, 8)]

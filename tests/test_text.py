@@ -62,6 +62,8 @@ def test_normalize_document(spark, raw, normal):
 def test_specials_and_password(spark):
     assert one(spark, "a&b#c$d%e*f", text.strip_specials) == "abcdef"
     assert one(spark, "<a><RecipientPwd>x\ny</RecipientPwd></a>", text.redact_password) == "<a></a>"
+    assert one(spark, '<a><x:recipientpwd y="1">secr', text.redact_password) == "<a>"
+    assert one(spark, "<a><RecipientPwd/><b>x</b></a>", text.redact_password) == "<a><b>x</b></a>"
 
 
 @pytest.mark.parametrize(
