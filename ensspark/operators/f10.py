@@ -20,6 +20,7 @@ from ensspark.functions.values import document_time, or_default, zulu
 from ensspark.operators.headers import DECL
 from ensspark.operators.numbering import bucket_of, number_rows
 from ensspark.operators.routing import repair_routes, with_route
+from ensspark.operators.skew import splittable
 
 HS_FAILED = "Failed HS Code Check"
 
@@ -115,7 +116,7 @@ def _matches(docs: DataFrame, key: str, values: Column, lookup: DataFrame, name:
     word, answer = lookup.columns
     table = lookup.groupBy(F.upper(word).alias("_k")).agg(F.min(answer).alias("_v"))
     needed = docs.select(key, F.explode(F.array_distinct(values)).alias("_k")).filter("_k IS NOT NULL").distinct()
-    hits = needed.join(table, "_k").groupBy(key)
+    hits = needed.join(splittable(table, "_k"), "_k").groupBy(key)
     maps = hits.agg(F.map_from_entries(F.collect_list(F.struct("_k", "_v"))).alias(name))
     return docs.join(maps, key, "left")
 
@@ -441,9 +442,9 @@ def equipment(containers: DataFrame, seals: DataFrame, types: DataFrame) -> Data
     keyed = containers.withColumn("_box", F.upper("container"))
     same = (F.col("doc") == F.col("_doc")) & (keyed["_box"] == sealed["_box"])
     return (
-        keyed.join(sealed, same, "left")
+        keyed.join(splittable(sealed, "_doc", "_box"), same, "left")
         .drop(sealed["_box"])
-        .join(sizes, "_box", "left")
+        .join(splittable(sizes, "_box"), "_box", "left")
         .select(
             "doc",
             "pos",
@@ -469,7 +470,7 @@ def resolve_hs(items: DataFrame, hs_codes: DataFrame) -> DataFrame:
     keyed = items.withColumn("description_clean", clean(F.col("description"))).withColumn(
         "_key", F.when(need & text.isNotNull(), text).otherwise(spread)
     )
-    coded = keyed.join(table, "_key", "left").withColumn(
+    coded = keyed.join(splittable(table, "_key"), "_key", "left").withColumn(
         "hs", hs_code(F.col("tariff"), F.col("harmonized"), F.col("_code"))
     )
     return coded.withColumn("hs_ok", six_long(F.col("hs"))).drop("_key", "_code")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ensspark.functions.values import csv_to_list, literal_list, or_default
+from ensspark.operators.skew import splittable
 from ensspark.schemas import CHECKLIST_CODES, CHECKLIST_SERVICE
 
 ALL = "All"
@@ -189,7 +190,7 @@ def first_arrivals(entries: DataFrame) -> DataFrame:
 
 def arrival_offsets(entries: DataFrame) -> DataFrame:
     """Days from the first arrival of the voyage to each port call."""
-    return entries.join(first_arrivals(entries), "voyage_id").select(
+    return entries.join(splittable(first_arrivals(entries), "voyage_id"), "voyage_id").select(
         F.col("id").alias("entry_id"),
         "voyage_id",
         "port",

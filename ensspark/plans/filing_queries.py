@@ -250,7 +250,8 @@ def lookups(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return types, hs_codes
 
 
-def _converted(spark: SparkSession, sf_dir: str) -> DataFrame:
+def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, converted or refused."""
     types, hs_codes = lookups(spark, sf_dir)
     # The conversion reads its documents once per lookup: land them, as after parsing XML.
     return f10.convert(
@@ -263,8 +264,8 @@ def _converted(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _filings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _converted(spark, sf_dir).filter(F.col("reject_reason").isNull()).select("doc", "f10_name", "F10")
+def _accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filings(spark, sf_dir).filter(F.col("reject_reason").isNull()).select("doc", "f10_name", "F10")
 
 
 BODY = "F10.SMFENS2FilingBody"
@@ -284,7 +285,7 @@ HOUSE = f"{MASTER}.ConsignmentHouseLevel"
       FROM converted""",
 )
 def f10_header(spark, sf_dir):
-    return _filings(spark, sf_dir).select(
+    return _accepted(spark, sf_dir).select(
         "doc",
         "f10_name",
         F.col(f"{BODY}.LRN").alias("lrn"),
@@ -311,7 +312,7 @@ def f10_header(spark, sf_dir):
       SELECT k AS doc, CAST(n AS VARCHAR) AS sequence_number, it[n] AS country FROM (SELECT k, it, unnest(range(1, len(it) + 1)) AS n FROM steps)""",
 )
 def f10_routing(spark, sf_dir):
-    steps = _filings(spark, sf_dir).select("doc", F.explode(f"{MEANS}.CountriesOfRoutingOfMeansOfTransport").alias("s"))
+    steps = _accepted(spark, sf_dir).select("doc", F.explode(f"{MEANS}.CountriesOfRoutingOfMeansOfTransport").alias("s"))
     return steps.select("doc", F.col("s.sequenceNumber").alias("sequence_number"), F.col("s.country").alias("country"))
 
 
@@ -321,7 +322,7 @@ def f10_routing(spark, sf_dir):
       SELECT k AS doc, CAST(n AS INTEGER) AS pos, codes[n] AS office FROM (SELECT k, codes, unnest(range(1, len(codes) + 1)) AS n FROM steps)""",
 )
 def f10_offices(spark, sf_dir):
-    steps = _filings(spark, sf_dir).select("doc", F.posexplode(f"{BODY}.CustOfficeOfSubsequentEntry").alias("pos", "o"))
+    steps = _accepted(spark, sf_dir).select("doc", F.posexplode(f"{BODY}.CustOfficeOfSubsequentEntry").alias("pos", "o"))
     return steps.select("doc", (F.col("pos") + 1).alias("pos"), F.col("o.RefNum").alias("office"))
 
 
@@ -332,7 +333,7 @@ def f10_offices(spark, sf_dir):
       FROM items i JOIN converted c ON c.k = i.k""",
 )
 def f10_goods(spark, sf_dir):
-    items = _filings(spark, sf_dir).select("doc", F.explode(f"{HOUSE}.GoodsItem").alias("g"))
+    items = _accepted(spark, sf_dir).select("doc", F.explode(f"{HOUSE}.GoodsItem").alias("g"))
     return items.select(
         "doc",
         F.col("g.goodsItemNumber").alias("item"),
@@ -355,7 +356,7 @@ def f10_goods(spark, sf_dir):
       LEFT JOIN seals s ON s.k = b.k AND s.container = b.container""",
 )
 def f10_equipment(spark, sf_dir):
-    items = _filings(spark, sf_dir).select("doc", F.explode(f"{HOUSE}.GoodsItem").alias("g"))
+    items = _accepted(spark, sf_dir).select("doc", F.explode(f"{HOUSE}.GoodsItem").alias("g"))
     boxes = items.select("doc", F.col("g.goodsItemNumber").alias("item"), F.explode("g.TransportEquipment").alias("b"))
     return boxes.select(
         "doc",
@@ -390,7 +391,7 @@ def f10_parties(spark, sf_dir):
         F.struct(F.lit("Buyer").alias("role"), house["GoodsShipment"]["Buyer"].alias("p")),
         F.struct(F.lit("Seller").alias("role"), house["GoodsShipment"]["Seller"].alias("p")),
     )
-    rows = _filings(spark, sf_dir).select("doc", F.explode(roles).alias("r"))
+    rows = _accepted(spark, sf_dir).select("doc", F.explode(roles).alias("r"))
     address = F.col("r.p.Address")
     return rows.select(
         "doc",
@@ -409,7 +410,7 @@ def f10_parties(spark, sf_dir):
     f"WITH {F10_SQL} SELECT k AS doc, reject_reason FROM judged WHERE reject_reason IS NOT NULL",
 )
 def f10_rejects(spark, sf_dir):
-    return _converted(spark, sf_dir).filter(F.col("reject_reason").isNotNull()).select("doc", "reject_reason")
+    return filings(spark, sf_dir).filter(F.col("reject_reason").isNotNull()).select("doc", "reject_reason")
 
 
 @query(
@@ -418,7 +419,7 @@ def f10_rejects(spark, sf_dir):
       THEN 'HSCode_Failed' ELSE 'Failed' END AS queue, count(*) AS documents FROM judged GROUP BY 1""",
 )
 def conversion_queues(spark, sf_dir):
-    return headers.queue_counts(_converted(spark, sf_dir).withColumn("queue", sinks.conversion_queue()))
+    return headers.queue_counts(filings(spark, sf_dir).withColumn("queue", sinks.conversion_queue()))
 
 
 @query(
@@ -535,7 +536,7 @@ def xml_roundtrip(spark, sf_dir):
 )
 def f10_roundtrip(spark, sf_dir):
     """Write every filing, detect its kind from the text, parse it back."""
-    written = _filings(spark, sf_dir).select("doc", sinks.f10_xml(F.col("F10")).alias("xml"))
+    written = _accepted(spark, sf_dir).select("doc", sinks.f10_xml(F.col("F10")).alias("xml"))
     parsed = source.parse_filings(source.with_kind(written))
     return parsed.select(
         "doc",

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ensspark import schemas, sinks
-from ensspark.operators import f10, headers, routing, tariff
+from ensspark.operators import f10, headers, routing, tariff, tracker
 from ensspark.operators.headers import DECL
 from ensspark.sources import declarations as source
 from ensspark.sources import settings
@@ -318,6 +318,63 @@ def test_queue_converts_new_files_once(spark, tmp_path):
     assert run() == [("a.xml", "Upload"), ("b.xml", "HSCode_Failed"), ("bad.xml", "Failed")]
 
 
+def test_queue_of_texts_gives_every_file_a_row(docs, spark, tmp_path):
+    inbox = tmp_path / "in"
+    filing = convert(docs, spark).filter("doc = 'A'").select(sinks.f10_xml(F.col("F10")).alias("xml")).first().xml
+    write(inbox, "a.xml", document(lrn="SAME"))
+    write(inbox, "b.xml", document(lrn="SAME", consignor_number=""))
+    write(inbox, "c.xml", document(lrn="C", items=[item("")]))
+    write(inbox, "ready.XML", filing)
+    write(inbox, "bad.xml", document(lrn="CUT")[:400])
+    write(inbox, "other.xml", "<Invoice><Total>1</Total></Invoice>")
+    queue.convert_queue(
+        queue.read_texts(spark, str(inbox)), str(tmp_path / "out"), str(tmp_path / "cp"),
+        routes=vessel_routes(spark), flags=imo_flags(spark), issued=issued(),
+        container_types=spark.createDataFrame([("abcu0000001", "22G1")], "container string, size_type string"),
+    ).awaitTermination()
+    rows = {r.file_name: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert {n: (r.queue, r.reason) for n, r in rows.items()} == {
+        "a.xml": ("Upload", None),
+        "b.xml": ("Upload", None),
+        "c.xml": ("HSCode_Failed", "Failed HS Code Check"),
+        "ready.XML": ("Upload", None),
+        "bad.xml": ("Failed", "not well-formed"),
+        "other.xml": ("Failed", "no declaration"),
+    }
+    assert rows["ready.XML"].f10_name == "ready" and "<LRN>A</LRN>" in rows["ready.XML"].xml
+    assert "secret" not in "".join(str(r) for r in rows.values())
+
+
+def test_hot_keys_are_split(spark):
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+        # so few rows would be written by one task, whose output cannot be split
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    }
+    rows = spark.range(0, 60_000, 1, 8).withColumn("hot", F.when(F.col("id") % 10 < 7, 7).otherwise(F.col("id")))
+    entries = rows.select("id", F.col("hot").alias("voyage_id"), F.lit("GBLIV").alias("port"), F.expr("date_add(DATE'2026-01-01', int(id % 90))").alias("arrival_date"))
+    words = F.concat(F.lit("WORD "), F.col("hot"))
+    items = rows.select(F.col("id").alias("doc"), F.lit(1).alias("pos"), words.alias("description"), F.lit(None).cast("string").alias("harmonized"), F.lit(None).cast("string").alias("tariff"))
+    codes = rows.select(words.alias("description"), F.lit("701912").alias("code"))
+    boxes = rows.select(F.col("id").alias("doc"), F.lit(1).alias("pos"), words.alias("container"))
+    types = rows.select(words.alias("container"), F.lit("22G1").alias("size_type"))
+    seals = boxes.select("doc", "pos", F.lit("S").alias("seal"), "container")
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        for df in (tracker.arrival_offsets(entries), f10.resolve_hs(items, codes), f10.equipment(boxes, seals, types)):
+            assert len(df.collect()) == 60_000
+            assert "skew=true" in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_folded_changes_merge_in_any_split(spark):
     entries = spark.createDataFrame([(1, 1, "A", dt.date(2026, 1, 1), False, "F"), (2, 1, "B", dt.date(2026, 1, 2), False, None)], schemas.ENTRIES)
     columns = "seq long, entry_id long, kind string, is_declared boolean, port string, arrival_date date, uploaded_files string"
