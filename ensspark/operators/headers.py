@@ -13,6 +13,7 @@ from ensspark import schemas
 from ensspark.functions.nested import has_empty_leaf, map_leaves
 from ensspark.functions.text import clean_if_dirty, strip_specials
 from ensspark.functions.values import blank, existing, iso_date, midnight_stamp, same_text
+from ensspark.operators.routing import gb_status, with_route
 from ensspark.operators.tariff import default_missing_items, document_valid
 
 DECL = "EntrySummaryDeclaration"
@@ -233,6 +234,26 @@ def latest_by_file_name(files: DataFrame, position: str) -> DataFrame:
     return last.select("file_name", "_last.*")
 
 
+def prepare_gb(
+    found: DataFrame,
+    routes: DataFrame,
+    imo: Column,
+    voyage: Column,
+    arrival_day: Column,
+    gb_tin: str,
+    itinerary: Column | None = None,
+) -> DataFrame:
+    """Documents of the loading-port folders that need a GB filing, rewritten, with their queue.
+
+    ``found`` comes from ``read_gb_candidates``. Documents that unload before the GB port are left out, and of files
+    with one name the one from the last folder counts.
+    """
+    ship, unloading = F.col(DECL)["IdeOfMeaOfTraCro"], F.col(DECL)["PlaceOfUnloading"]
+    routed = with_route(found, routes, ship)
+    due = routed.filter(gb_status(F.col("ports"), unloading) == "required").select(*found.columns)
+    return gb_rewrite(latest_by_file_name(due, "folder_pos"), imo, voyage, arrival_day, gb_tin, itinerary)
+
+
 # --- parties of converted documents ---------------------------------------------------------------
 
 

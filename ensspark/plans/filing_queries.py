@@ -42,7 +42,7 @@ updated AS (
   FROM asked a LEFT JOIN office_of o ON o.port = upper(a.port_new))"""
 
 
-def _updated(spark: SparkSession, sf_dir: str) -> DataFrame:
+def update_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = decl.documents(spark, sf_dir)
     k = F.col("doc")
     day = F.to_date(F.substring(F.col(DECL)["DeclDateTime"], 1, 8), "yyyyMMdd")
@@ -82,7 +82,7 @@ def _header_columns() -> list[Column]:
 
 @query("header_update", f"WITH {UPDATE_SQL} SELECT * FROM updated")
 def header_update(spark, sf_dir):
-    return _updated(spark, sf_dir).select("doc", "error", "changed", *_header_columns())
+    return update_documents(spark, sf_dir).select("doc", "error", "changed", *_header_columns())
 
 
 @query(
@@ -91,7 +91,7 @@ def header_update(spark, sf_dir):
       count(error) AS errors FROM updated""",
 )
 def batch_summary(spark, sf_dir):
-    return headers.batch_summary(_updated(spark, sf_dir))
+    return headers.batch_summary(update_documents(spark, sf_dir))
 
 
 @query(

@@ -55,7 +55,7 @@ def violations(vessels: DataFrame, voyages: DataFrame, entries: DataFrame) -> Da
         )
 
     repeated = (
-        vessels.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).filter("n > 1")
+        vessels.filter(F.col("name").isNotNull()).groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).filter("n > 1")
     ).select(F.lit("vessels").alias("table_name"), "id", F.lit("name is not unique").alias("rule"))
     return (
         required(vessels, "vessels", ["name"])
