@@ -212,14 +212,19 @@ def survivors(docs: DataFrame, text: str, shingles: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prefix, segments, alive = [], [], []
-            for n, live in zip(batch[1].to_pylist(), batch[2].to_pylist(), strict=True):
-                records = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in live]))
+            kept, prefix, segments, alive = [], [], [], []
+            for at, (n, live) in enumerate(zip(batch[1].to_pylist(), batch[2].to_pylist(), strict=True)):
+                # a shingle that is hot in one slice only comes alone and in its fragment's row
+                records = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in live]))
+                if len(records) < least_overlap(n):
+                    continue
+                kept.append(at)
                 prefix.append(records[: len(records) - least_overlap(n) + 1].view(np.int64))
                 alive.append(len(records))
                 own = (records & LOW) >> np.uint64(54)
                 segments.append([records[own == f].tobytes() for f in range(SEGMENTS)])
-            arrays = [batch[0], batch[1], pa.array(alive, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(segments, pa.list_(pa.binary()))]
+            own = batch.take(pa.array(kept, pa.int64()))
+            arrays = [own[0], own[1], pa.array(alive, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(segments, pa.list_(pa.binary()))]
             yield pa.RecordBatch.from_arrays(arrays, names=["class", "n", "live", "prefix", "segments"])
 
     found = whole.select("class", "n", "live").mapInArrow(run, "class long, n long, live long, prefix array<long>, segments array<binary>")

@@ -191,6 +191,17 @@ def test_join_against_brute_force(corpus, odd, none, monkeypatch):
     assert Counter(map(tuple, op04_ngram_join.linked(docs).collect())) == brute_components(rows)
 
 
+def test_join_counts_a_shingle_hot_in_one_slice_once(corpus, monkeypatch):
+    monkeypatch.setattr(op04_ngram_join, "HOT", 4)
+    passage = " ".join(f"p{k}" for k in range(24))
+    text = lambda i, n: passage + "".join(f" d{i}x{k}" for k in range(n))
+    first = [(i, text(i, 26 if i < 2 else 200)) for i in range(6)]
+    second = [(10 + i, text(i, 26)) for i in range(2)]
+    slices = corpus.sparkContext.parallelize([first, second], 2).flatMap(lambda rows: rows)
+    got = op04_ngram_join.linked(corpus.createDataFrame(slices, "doc_id long, text string")).collect()
+    assert Counter(map(tuple, got)) == brute_components(first + second)
+
+
 # --- 5: top-k ---
 
 
