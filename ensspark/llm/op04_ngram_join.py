@@ -277,9 +277,13 @@ def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     steps = None
     while not edges.isEmpty():
         down = landed(edges.groupBy("u").agg(F.min("v").alias("to")).where("to < u"), "join-down")
-        for _ in range(3):
+        while True:  # every pass halves the hops, until all point to labels that stay
             further = down.select(F.col("u").alias("to"), F.col("to").alias("next"))
-            down = landed(down.join(further, "to", "left").select("u", F.coalesce("next", "to").alias("to")), "join-down")
+            passed = down.join(further, "to", "left").select("u", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved"))
+            passed = landed(passed, "join-down")
+            down = passed.select("u", "to")
+            if passed.where("moved").isEmpty():
+                break
         if steps is None:
             steps = down
         else:

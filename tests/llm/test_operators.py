@@ -202,6 +202,16 @@ def test_join_counts_a_shingle_hot_in_one_slice_once(corpus, monkeypatch):
     assert Counter(map(tuple, got)) == brute_components(first + second)
 
 
+def test_join_follows_long_chains(corpus):
+    n = 50
+    labels = corpus.range(n).selectExpr("id AS class", "id AS label")
+    links = corpus.range(n - 1).selectExpr("id AS a", "id + 1 AS b")
+    assert sorted(map(tuple, op04_ngram_join.relabelled(labels, links).collect())) == [(i, 0) for i in range(n)]
+    rows = [(i, " ".join(f"w{k}" for k in range(i, i + 14))) for i in range(n)]
+    got = op04_ngram_join.linked(corpus.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(map(tuple, got)) == brute_components(rows) == Counter({(i, 10, 0): 1 for i in range(n)})
+
+
 # --- 5: top-k ---
 
 
