@@ -57,16 +57,26 @@ def class_keys(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.where(size > 0, np.maximum(keys, np.uint64(1)), np.uint64(0))
 
 
+def _text_hash(text: Column) -> Column:
+    """With the id, this tells the rows of a table apart, up to exact copies."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def _wordless(text: Column) -> Column:
+    """Whether a text has no shingles, since it has nothing but white space (as in ``words.SPACE``)."""
+    return ~F.coalesce(text, F.lit("")).rlike(r"[^\x09-\x0D\x20]")
+
+
 def members(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Document id, number of shingles and class of every row."""
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("body"))
+    """Document id, number of shingles, class and text hash of every row."""
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("body"), _text_hash(F.col(text)).alias("h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets, bounds = shingle_sets(batch[1], WORDS)
-            yield pa.RecordBatch.from_arrays([batch[0], pa.array(np.diff(bounds)), pa.array(class_keys(sets, bounds).view(np.int64))], names=["id", "n", "class"])
+            yield pa.RecordBatch.from_arrays([batch[0], pa.array(np.diff(bounds)), pa.array(class_keys(sets, bounds).view(np.int64)), batch[2]], names=["id", "n", "class", "h"])
 
-    return rows.mapInArrow(run, "id long, n long, class long")
+    return rows.mapInArrow(run, "id long, n long, class long, h long")
 
 
 BLOCK = "fragment int, kind int, classes binary, sizes binary, counts binary, shingles binary"
@@ -342,13 +352,8 @@ def components(keep: DataFrame, labels: DataFrame) -> DataFrame:
     return labels
 
 
-def linked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (the smallest id reachable by links).
-
-    A null or empty text, or one without words, has no shingles and its own id as component. Rows that repeat an
-    id are documents of their own; a null id is larger than all others and a component of nothing but such ids has
-    none. Other columns are ignored; an empty table gives an empty result. Whole texts count, however long.
-    """
+def grouped(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Every row's id, n, class, text hash, component_id and ``part``, which tells components apart whatever their ids."""
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     own = landed(members(rows, "doc_id", "text"), "join-members")
     classes = own.where("n > 0").groupBy("class").agg(F.min("id").alias("id"))
@@ -359,26 +364,39 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     labels = components(keep, labels)
     found = classes.join(labels, "class", "left")
     component = F.when(F.col("label").isNull(), F.col("id")).when(~F.col("label.none"), F.col("label.id"))
-    found = landed(found.select("class", component.alias("component_id")), "join-components")
-    result = own.join(found, "class", "left")
-    return result.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    part = F.coalesce("label.class", "class").alias("part")
+    found = landed(found.select("class", component.alias("component_id"), part), "join-components")
+    return own.join(found, "class", "left").withColumn("component_id", F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")))
+
+
+def linked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (the smallest id reachable by links).
+
+    A null or empty text, or one without words, has no shingles and its own id as component. Rows that repeat an
+    id are documents of their own; a null id is larger than all others and a component of nothing but such ids has
+    none. Other columns are ignored; an empty table gives an empty result. Whole texts count, however long.
+    """
+    return grouped(docs, key, text).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that stand for their component (the one with its id), with all their columns.
 
-    Where several rows have this id, the one with the smallest text stays. Documents without shingles stay.
+    One row of each component stays, whatever ids other components have: where several of its rows have its id, the
+    one with the smallest text. Documents without shingles all stay.
     """
-    found = linked(docs, key, text)
-    firsts = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    firsts = landed(firsts.groupBy("doc_id").agg(F.count("*").alias("rows")), "join-firsts")
-    match = lambda few: F.col(f"d.{key}").eqNullSafe(F.col("f.doc_id"))
-    single, several = firsts.where("rows = 1").alias("f"), firsts.where("rows > 1").alias("f")
-    rows = docs.alias("d")
-    alone = rows.join(single, match(single), "left_semi")
-    repeated = rows.join(several, match(several), "left_semi").select(F.struct("*").alias("row"))
-    smallest = repeated.groupBy(f"row.{key}").agg(F.min_by("row", F.col(f"row.{text}")).alias("row")).select("row.*")
-    return alone.unionByName(smallest)
+    found = grouped(docs, key, text).where("n > 0").where(F.col("id").eqNullSafe(F.col("component_id")))
+    firsts = found.groupBy("part", "id", "h").agg(F.count("*").alias("rows"))  # equal texts are of one component
+    firsts = landed(firsts, "join-firsts")
+    size = firsts.groupBy("part").agg(F.sum("rows").alias("size"))
+    firsts = landed(firsts.join(size, "part"), "join-firsts")
+    match = (F.col("d.id").eqNullSafe(F.col("f.id"))) & (F.col("d.h") == F.col("f.h"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(key).cast("long").alias("id"), _text_hash(F.col(text)).alias("h"), _wordless(F.col(text)).alias("wordless"))
+    bare, full = rows.where("wordless").select("row.*"), rows.where("not wordless").alias("d")
+    alone = full.join(firsts.where("size = 1").alias("f"), match, "left_semi").select("row.*")
+    repeated = full.join(firsts.where("size > 1").alias("f"), match).select("f.part", "d.row")
+    smallest = repeated.groupBy("part").agg(F.min_by("row", F.col(f"row.{text}")).alias("row")).select("row.*")
+    return bare.unionByName(alone).unionByName(smallest)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

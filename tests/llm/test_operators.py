@@ -212,6 +212,23 @@ def test_join_follows_long_chains(corpus):
     assert Counter(map(tuple, got)) == brute_components(rows) == Counter({(i, 10, 0): 1 for i in range(n)})
 
 
+def test_one_row_of_each_component_whatever_its_id(corpus, none):
+    own = lambda i: [f"d{i}x{k}" for k in range(40)]
+    near = lambda i: " ".join([*own(i), "more"])
+    rows = [(None, " ".join(own(i))) for i in range(5)]  # components of null ids only, one of them of two rows
+    rows += [(None, near(0)), (None, " ".join(own(1)))]
+    rows += [(7, " ".join(own(10))), (7, " ".join(own(11)))]  # one id, two components
+    rows += [(3, " ".join(own(20))), (8, near(20)), (8, " ".join(own(21))), (9, near(21)), (None, near(21))]  # an id that stands for one component only
+    rows += [(None, None), (None, ""), (None, " \n"), (7, ""), (3, None)]
+    docs = corpus.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, place long")
+    got = op04_ngram_join.one_of_each(docs.repartition(3))
+    assert got.columns == docs.columns
+    kept = [" ".join(own(i)) for i in (0, 1, 2, 3, 4, 10, 11, 20, 21)]
+    ids = [None] * 5 + [7, 7, 3, 8]
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter(zip(ids, kept, strict=True)) + Counter(rows[-5:])
+    assert op04_ngram_join.one_of_each(none).count() == 0
+
+
 # --- 5: top-k ---
 
 
