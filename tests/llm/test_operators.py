@@ -248,6 +248,24 @@ def test_top_k_odd(corpus):
     assert op05_topk.nearest(vectors.limit(0), vectors).count() == 0
 
 
+def test_top_k_of_large_components(corpus):
+    rng = random.Random(4)
+    big = [1.0, 2.0**14, 2.0**22, 2.0**31, 2.0**53, 1e300]
+    rows = [(i, [rng.choice([-1, 1]) * rng.randint(1, 1000) / 999 * rng.choice(big[: 1 + i % 6]) for _ in range(4)]) for i in range(120)]
+    rows += [(200, [1e308] * 4), (201, [1e308] * 4), (202, [float("inf")] * 4)]
+    scaled = [(i, [int(x) * 1024 if abs(x) >= 2**43 else int(1024 * x // 1) for x in v]) for i, v in rows if i != 202]
+
+    def best(queries, vectors):
+        for i, q in queries:
+            found = sorted((-sum(a * b for a, b in zip(q, x, strict=True)), j) for j, x in vectors if j != i)[:10]
+            yield from ((i, rank, j, -s if -(2**63) <= -s < 2**63 else None) for rank, (s, j) in enumerate(found, 1))
+
+    for few in (rows, [r for r in rows if r[0] < 200 and r[0] % 6 < 3]):
+        vectors = corpus.createDataFrame(few, "vec_id long, embedding array<double>")
+        kept = [r for r in scaled if r[0] in dict(few)]
+        assert {tuple(r) for r in op05_topk.nearest(vectors, vectors).collect()} == set(best(kept, kept))
+
+
 # --- 7: quality ---
 
 
