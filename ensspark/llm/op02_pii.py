@@ -33,14 +33,14 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
 TRAIN_ZONES = 400  # labelled zones of the corpus that the weights are trained on
 EPOCHS = 4
-MOST_ATOMS = 17  # bound of an entity, in atoms
+MOST_ATOMS = 17  # bound of an entity, in atoms; a spelt-out sign with its blanks and brackets is one
 SEED = re.compile(r"[0-9@]|[\[(](?:[aA][tT]|[dD][oO][tT])[\])]")
-ATOM = re.compile(r"[0-9]+|[^\W\d_]+|.", re.S)
+ATOM = re.compile(r" ?[\[(](?:[aA][tT]|[dD][oO][tT])[\])] ?|[0-9]+|[^\W\d_]+|.", re.S)
 BREAK = re.compile(r"[\t-\r]")
 AT = re.compile(r"\s?[\[(]at[\])]\s?|@", re.I)
 DOT = re.compile(r"\.|[\[(]dot[\])]", re.I)
 MAIL = re.compile(r"[\w.%+-]+(?:\s?[\[(]at[\])]\s?|@)[A-Za-z0-9-]+(?:(?:\.|\s?[\[(]dot[\])]\s?)[A-Za-z0-9-]+)*", re.I | re.A)
-ZONE_CHARS = 120  # white space may join chunks to a zone while they are this near
+ZONE_CHARS = 120  # length up to which white space joins chunks to a zone that weights are trained on
 
 
 def luhn(digits: str) -> bool:
@@ -83,8 +83,8 @@ def base_spans(text: str) -> list[Span]:
     return found
 
 
-def zones(text: str) -> Iterator[tuple[int, int]]:
-    """Ranges of white-space-free chunks that hold a seed; chunks one blank apart make one zone."""
+def zones(text: str, most: int | None = None) -> Iterator[tuple[int, int]]:
+    """Ranges of white-space-free chunks that hold a seed; chunks one blank apart make one zone, up to a length if given."""
     start = end = -1
     for m in SEED.finditer(text):
         if m.start() < end:
@@ -102,7 +102,7 @@ def zones(text: str) -> Iterator[tuple[int, int]]:
             stop = len(text) if stop < 0 else stop
         if cut := BREAK.search(text, m.end(), stop):
             stop = cut.start()
-        if start >= 0 and a - end <= 1 and text[end:a] in ("", " ") and stop - start <= ZONE_CHARS:
+        if start >= 0 and a - end <= 1 and text[end:a] in ("", " ") and (most is None or stop - start <= most):
             end = stop
             continue
         if start >= 0:
@@ -190,12 +190,13 @@ class Field:
                 ending.setdefault(j, []).append((i, kind, score))
         if not ending:
             return []
-        best, back = [0.0] * len(cuts), [None] * len(cuts)
+        best, back = [(0.0, 0)] * len(cuts), [None] * len(cuts)  # of equal scores the one that covers more
         for j in range(1, len(cuts)):
             best[j] = best[j - 1]
             for i, kind, score in ending.get(j, ()):
-                if best[i] + score > best[j]:
-                    best[j], back[j] = best[i] + score, (i, kind)
+                whole = best[i][0] + score, best[i][1] + cuts[j] - cuts[i]
+                if whole > best[j]:
+                    best[j], back[j] = whole, (i, kind)
         found, j = [], len(cuts) - 1
         while j > 0:
             if back[j]:
@@ -258,7 +259,7 @@ def labelled_zones(docs: DataFrame, text: str, n: int = TRAIN_ZONES) -> list[tup
         for batch in batches:
             for body in batch[0]:
                 t = body.as_py()
-                for a, b in zones(t):
+                for a, b in zones(t, ZONE_CHARS):
                     if b - a <= 2 * ZONE_CHARS:
                         found.add(t[max(0, a - 1) : b + 1])
         rows = found.rows()

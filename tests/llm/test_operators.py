@@ -105,6 +105,15 @@ def test_field_adds_other_spellings():
         assert op02_pii.find(text, field) == ([], [])
 
 
+def test_field_finds_spans_anywhere_in_a_line():
+    field = op02_pii.Field().train(op02_pii.examples())
+    for n in range(8, 60):
+        text = " ".join(["12"] * n) + " (743) 555-3824 " + " ".join(["12"] * 9)
+        assert [(text[s:e], k) for s, e, k in op02_pii.find(text, field)[1]] == [("(743) 555-3824", "phone")]
+    mail = "john.doe [at] mail [dot] example [dot] com"
+    assert [(f"to {mail} ok"[s:e], k) for s, e, k in op02_pii.find(f"to {mail} ok", field)[1]] == [(mail, "email")]
+
+
 def test_ratio_tells_keys_from_words():
     plain = [f"{a}{b}" for a, b in product(["north", "house", "table", "river", "garden", "window"], ["light", "stone", "works", "field"])] * 20
     ratio = op06_secrets.Ratio([], plain)
