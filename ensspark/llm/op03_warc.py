@@ -121,11 +121,17 @@ def write(pages: DataFrame, out: str, key: str = "page_id", url: str = "url", pa
     )
     low, high, total = facts.agg(F.min("id"), F.max("id"), F.sum("size")).first()
     low, width = low or 0, max(1, -(-((high or 0) - (low or 0) + 1) // BINS))
-    place = F.coalesce((F.col("id").cast("double") - F.lit(float(low))) / F.lit(float(width)), F.lit(0.0))
-    weights = dict(facts.groupBy(F.floor(place).alias("bin")).agg((F.sum("size") + F.count("*")).alias("w")).collect())  # at most BINS rows
-    first, parts, count = _ranges(weights, max(1, -(-(total or 0) // shard_bytes)))
+    place = F.coalesce((F.col("id").cast("double") - F.lit(float(low))) / F.lit(float(width)) + 1, F.lit(0.0))  # null ids have bin 0
+    weights = dict(facts.groupBy(F.floor(place).alias("bin")).agg((F.sum("size") + F.count("*")).alias("w")).collect())  # at most BINS + 1 rows
+    shards = max(1, -(-(total or 0) // shard_bytes))
+    first, parts, count = _ranges(weights, shards)
     known = lambda values: F.element_at(F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>"), F.floor(place).cast("int") + 1)
-    within = F.pmod(F.xxhash64("body"), known(parts)) if width == 1 else F.floor((place - F.floor(place)) * known(parts))
+    alone = F.lit(True) if width == 1 else F.col("id").isNull()
+    if width > 1 and max(parts[1:], default=1) > 1:  # ids above the mean weight of a shard, so no more than there are shards
+        heavy = facts.where(F.col("id").isNotNull() & (known(parts) > 1)).groupBy("id").agg((F.sum("size") + F.count("*")).alias("w"))
+        hot = [r.id for r in heavy.where(F.col("w") > sum(weights.values()) / shards).select("id").collect()]
+        alone |= F.col("id").isin(hot) if hot else F.lit(False)
+    within = F.when(alone, F.pmod(F.xxhash64("id", "url", "body"), known(parts))).otherwise(F.floor((place - F.floor(place)) * known(parts)))
     shard = known(first) + within
     wide = rows.withColumn("digest", F.sha1(F.encode("body", "UTF-8")))
     if copies.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
@@ -144,8 +150,8 @@ def write(pages: DataFrame, out: str, key: str = "page_id", url: str = "url", pa
 def _ranges(weights: dict[int, int], shards: int) -> tuple[list[int], list[int], int]:
     """For each bin its first shard and how many shards it is cut into; the shards in all.
 
-    Neighbouring bins share a shard of about the mean weight. A bin above that is cut by the ids' place in it,
-    or by the payload's hash if it is a single hot id.
+    Neighbouring bins share a shard of about the mean weight. A bin above that is cut by the ids' place in it;
+    the rows of a hot id, or of none, are dealt to its shards by their hash.
     """
     goal, first, parts, at, filled = max(1, sum(weights.values()) / shards), [], [], 0, 0.0
     for b in range(max(weights, default=0) + 1):

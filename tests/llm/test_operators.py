@@ -158,6 +158,19 @@ def test_warc_is_deterministic_and_checked(corpus, odd):
     assert op03_warc.read(op03_warc.write(pages.limit(0), out := work_dir(corpus, "warc-test")), out).count() == 0
 
 
+@pytest.mark.parametrize("hot", [None, 500_000])
+def test_warc_deals_a_hot_id_to_several_shards(corpus, hot):
+    rows = [(hot if i % 3 == 0 else i * 997, f"u{i}", f"{i} " * 100) for i in range(1200)]
+    pages, out = corpus.createDataFrame(rows, "page_id long, url string, html string"), work_dir(corpus, "warc-test")
+    manifest = op03_warc.write(pages, out, shard_bytes=30_000).collect()
+    records = Counter()
+    for m in manifest:
+        records[m.shard] += m.records
+    assert sum(records.values()) == len(rows) and max(records.values()) < len(rows) / 6
+    got = op03_warc.read(corpus.createDataFrame(manifest, op03_warc.MANIFEST), out).collect()
+    assert Counter((r.page_id, r.url) for r in got) == Counter(r[:2] for r in rows)
+
+
 # --- 4: n-gram Jaccard join ---
 
 
