@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ensspark.functions.values import blank, iso_date, strip
-from ensspark.operators.numbering import bucket_of, last_id_of, next_ids, number_all
+from ensspark.operators.numbering import last_id_of, next_ids, number_all
 from ensspark.operators.tracker import checklist_codes, first_arrivals
 
 DUPLICATE_VESSEL = "Vessel with this name already exists."
@@ -130,7 +130,7 @@ def insert_voyages(
     owners = new_voyages.select("seq", F.col("id").alias("voyage_id"))
     rows = calls.filter(used).join(owners, "seq")
     start = last_id_of(entries, last_entry)
-    numbered = number_all(rows, "_n", "seq", [bucket_of(F.col("pos"))], ["pos"])
+    numbered = number_all(rows, "_n", ["seq", "pos"])
     new_entries = numbered.select(
         (F.col("_n") + start).alias("id"),
         "voyage_id",
@@ -257,9 +257,7 @@ def clone_voyages(
     calls = entries.select("voyage_id", F.col("id").alias("_old_id"), "port", "arrival_date")
     rows = numbered.select("seq", "voyage_id", F.col("id").alias("_new_voyage"), "_shift").join(calls, "voyage_id")
     start = last_id_of(entries, last_entry)
-    # Ranges by day and entry id: not even a clone of a huge voyage lands in one task.
-    ranges = [F.col("arrival_date"), bucket_of(F.col("_old_id"))]
-    new_entries = number_all(rows, "_n", "seq", ranges, ["arrival_date", "_old_id"]).select(
+    new_entries = number_all(rows, "_n", ["seq", "arrival_date", "_old_id"]).select(
         (F.col("_n") + start).alias("id"),
         F.col("_new_voyage").alias("voyage_id"),
         "port",

@@ -18,7 +18,7 @@ from ensspark.functions.tariff import six_long
 from ensspark.functions.text import WHITESPACE_RUN, clean
 from ensspark.functions.values import document_time, or_default, zulu
 from ensspark.operators.headers import DECL
-from ensspark.operators.numbering import bucket_of, number_rows
+from ensspark.operators.numbering import number_rows
 from ensspark.operators.routing import repair_routes, with_route
 from ensspark.operators.skew import splittable
 
@@ -423,7 +423,7 @@ def item_counts(docs: DataFrame, key: str = "doc") -> DataFrame:
 
 def number_items(items: DataFrame, key: str = "doc", pos: str = "pos") -> DataFrame:
     """Sequence number of each item in its document, in the order of ``pos``."""
-    return number_rows(items, "sequence_number", [key], [bucket_of(F.col(pos))], [pos])
+    return number_rows(items, "sequence_number", [key], pos)
 
 
 def first_seals(seals: DataFrame) -> DataFrame:

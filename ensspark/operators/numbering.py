@@ -1,71 +1,76 @@
-"""Dense row numbers that never pull a whole group into one task."""
+"""Dense row numbers that never pull a whole group into one task, however far apart the keys lie."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Integers per bucket: few enough rows to sort in one task, few enough buckets to count in one.
-BUCKET_WIDTH = 1 << 16
+from ensspark.session import land
 
+# Bits of an integer per level: a window sees at most 2^16 counts, whatever the integers are.
+LEVEL_BITS = 16
+LEVELS = 3
+BEFORE = (Window.unboundedPreceding, -1)
 
-def bucket_of(number: Column, width: int = BUCKET_WIDTH) -> Column:
-    """Order-preserving bucket of an integer: its start. Exact for every long value."""
-    return number - F.pmod(number, F.lit(width))
+
+def _starts(counts: DataFrame, keys: list[str], bits: int, levels: int) -> DataFrame:
+    """Rows of earlier ranges of the same key, per range: ``(*keys, _range, _start)``.
+
+    Ranges are summed up inside their parent, parents inside theirs; only the topmost window has no
+    parent, and its ranges are the 2^16 values of an integer's highest bits.
+    """
+    if levels == 1:
+        inside = Window.partitionBy(*keys).orderBy("_range").rowsBetween(*BEFORE)
+        return counts.select(*keys, "_range", F.coalesce(F.sum("_rows").over(inside), F.lit(0)).alias("_start"))
+    placed = counts.withColumn("_parent", F.shiftright("_range", bits))
+    parents = placed.groupBy(*keys, F.col("_parent").alias("_range")).agg(F.sum("_rows").alias("_rows"))
+    above = _starts(parents, keys, bits, levels - 1).withColumnsRenamed({"_range": "_parent", "_start": "_above"})
+    inside = Window.partitionBy(*keys, "_parent").orderBy("_range").rowsBetween(*BEFORE)
+    earlier = F.coalesce(F.sum("_rows").over(inside), F.lit(0))
+    return placed.withColumn("_earlier", earlier).join(above, [*keys, "_parent"]).select(
+        *keys, "_range", (F.col("_earlier") + F.col("_above")).alias("_start")
+    )
 
 
 def number_rows(
-    df: DataFrame, name: str, keys: list[str], buckets: list[Column], order: list[str]
+    df: DataFrame, name: str, keys: list[str], place: str, bits: int = LEVEL_BITS, levels: int = LEVELS
 ) -> DataFrame:
-    """Number rows 1..n inside each key, in the given order.
+    """Number rows 1..n inside each key, in the order of an integer; rows without a key or place are left out.
 
-    ``buckets`` cut a key into ranges that follow ``order``. Rows are ranked inside their range and
-    shifted by the number of rows in earlier ranges, which comes from one pre-aggregated count per
-    range. A key that owns a third of all rows is spread over its ranges.
+    Rows are ranked inside ranges of ``2^bits`` integers and shifted by the rows of earlier ranges. A key
+    that owns a third of all rows is spread over its ranges, also if its integers are sparse: the ranges'
+    counts are summed up level by level. Equal integers of a key meet in one task.
     """
-    cols = [f"_bucket{i}" for i in range(len(buckets))]
-    cut = df.withColumns(dict(zip(cols, buckets)))
-    counts = cut.groupBy(*keys, *cols).agg(F.count(F.lit(1)).alias("_rows"))
-    earlier = Window.partitionBy(*keys).orderBy(*cols).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        *keys, *cols, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset")
-    )
-    inside = Window.partitionBy(*keys, *cols).orderBy(*order)
+    cut = df.filter(F.col(place).isNotNull()).withColumn("_range", F.shiftright(F.col(place).cast("long"), bits))
+    counts = cut.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_rows"))
+    inside = Window.partitionBy(*keys, "_range").orderBy(place)
     return (
         cut.withColumn("_rank", F.row_number().over(inside))
-        .join(offsets, [*keys, *cols])
-        .withColumn(name, (F.col("_offset") + F.col("_rank")).cast("long"))
-        .drop(*cols, "_rank", "_offset")
+        .join(_starts(counts, keys, bits, levels), [*keys, "_range"])
+        .withColumn(name, (F.col("_start") + F.col("_rank")).cast("long"))
+        .drop("_range", "_rank", "_start")
     )
 
 
-def number_all(
-    df: DataFrame, name: str, group: str, buckets: list[Column], order: list[str]
-) -> DataFrame:
-    """Number all rows 1..n by ``group`` (an integer) and, inside one, in the given order.
+def number_all(df: DataFrame, name: str, order: list[str]) -> DataFrame:
+    """Number all rows 1..n in the given order, nulls first.
 
-    As ``number_rows``, but the numbers run on from group to group. The prefix sums over the range
-    counts are taken in two steps, inside runs of groups and over the runs.
+    The rows are dealt by sampled ranges of ``order`` and sorted, so neither sparse nor crowded values
+    make a task large unless rows are equal in all of ``order``. They are landed with their place in their
+    partition; what is summed up and broadcast is one count per partition.
     """
-    cols = [f"_bucket{i}" for i in range(len(buckets))]
-    cut = df.withColumns(dict(zip(cols, buckets)))
-    counts = cut.groupBy(group, *cols).agg(F.count(F.lit(1)).alias("_rows")).withColumn("_run", bucket_of(F.col(group)))
-    before = (Window.unboundedPreceding, -1)
-    runs = counts.groupBy("_run").agg(F.sum("_rows").alias("_size"))
-    over_runs = Window.orderBy("_run").rowsBetween(*before)
-    starts = runs.select("_run", F.coalesce(F.sum("_size").over(over_runs), F.lit(0)).alias("_start"))
-    in_run = Window.partitionBy("_run").orderBy(group, *cols).rowsBetween(*before)
-    offsets = (
-        counts.withColumn("_earlier", F.coalesce(F.sum("_rows").over(in_run), F.lit(0)))
-        .join(starts, "_run")
-        .select(group, *cols, (F.col("_start") + F.col("_earlier")).alias("_offset"))
-    )
-    inside = Window.partitionBy(group, *cols).orderBy(*order)
+    at = F.monotonically_increasing_id()  # partition << 33 | place in the partition
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", at)
+    rows = land(dealt, f"numbered-{name.strip('_')}")
+    sizes = rows.groupBy(F.shiftright("_at", 33).alias("_part")).agg(F.count(F.lit(1)).alias("_rows"))
+    earlier = F.coalesce(F.sum("_rows").over(Window.orderBy("_part").rowsBetween(*BEFORE)), F.lit(0))
+    starts = sizes.select("_part", earlier.alias("_start"))
+    place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     return (
-        cut.withColumn("_rank", F.row_number().over(inside))
-        .join(offsets, [group, *cols])
-        .withColumn(name, (F.col("_offset") + F.col("_rank")).cast("long"))
-        .drop(*cols, "_rank", "_offset")
+        rows.withColumn("_part", F.shiftright("_at", 33))
+        .join(F.broadcast(starts), "_part")
+        .withColumn(name, F.col("_start") + place + 1)
+        .drop("_part", "_at", "_start")
     )
 
 
@@ -77,10 +82,9 @@ def last_id_of(existing: DataFrame, last_id: int | None = None) -> Column:
 
 
 def next_ids(df: DataFrame, existing: DataFrame, order: str, last_id: int | None = None) -> DataFrame:
-    """Give new rows ids that continue those of ``existing``, in the order of a unique integer.
+    """Give new rows ids that continue those of ``existing``, in the order of a unique column.
 
     ``last_id`` overrides the highest stored id, for stores that never reuse a deleted one.
     """
     start = last_id_of(existing, last_id)
-    numbered = number_rows(df, "_n", [], [bucket_of(F.col(order))], [order])
-    return numbered.withColumn("id", F.col("_n") + start).drop("_n")
+    return number_all(df, "_n", [order]).withColumn("id", F.col("_n") + start).drop("_n")

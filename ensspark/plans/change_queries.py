@@ -9,7 +9,7 @@ from ensspark.operators import changes as ops
 from ensspark.plans.registry import query
 from ensspark.plans.standin import AS_OF, AS_OF_SQL, PORTS, TRACKER_SQL, entries, pick, sql_list, table, tracker
 from ensspark.plans.standin import vessels, voyages
-from ensspark.sinks import land
+from ensspark.session import land
 from ensspark.sources.lookups import port_offices
 
 WITH = f"WITH {TRACKER_SQL}"

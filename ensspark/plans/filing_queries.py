@@ -16,6 +16,7 @@ from ensspark.plans.document_queries import REPAIR_SQL
 from ensspark.plans.registry import query
 from ensspark.plans.standin import PORTS, pick, sql_list, table
 from ensspark.schemas import CORRUPT, GB_FOLDERS, IMO_FLAGS
+from ensspark.session import land
 from ensspark.sources import declarations as source
 from ensspark.sources.lookups import imo_flags, port_offices, vessel_routes
 
@@ -255,7 +256,7 @@ def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
     types, hs_codes = lookups(spark, sf_dir)
     # The conversion reads its documents once per lookup: land them, as after parsing XML.
     return f10.convert(
-        sinks.land(decl.documents(spark, sf_dir), "declarations"),
+        land(decl.documents(spark, sf_dir), "declarations"),
         routes=vessel_routes(spark),
         flags=imo_flags(spark),
         issued=F.lit(ISSUED).cast("timestamp_ntz"),

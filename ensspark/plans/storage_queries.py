@@ -21,7 +21,7 @@ from ensspark.plans.registry import query
 from ensspark.plans.standin import AS_OF, AS_OF_SQL, TRACKER_SQL, entries, pick, sql_list, table, vessels, voyages
 from ensspark.plans.standin import tracker as tracker_tables
 from ensspark.schemas import GB_FOLDERS, IMO_FLAGS
-from ensspark.session import shared_dir
+from ensspark.session import land, shared_dir
 from ensspark.sources import declarations as source
 from ensspark.sources import settings, tables
 from ensspark.sources.lookups import vessel_routes
@@ -155,7 +155,7 @@ CHOSEN = SHIPS[:2]
 def _ship_folders(spark: SparkSession, sf_dir: str) -> str:
     """Documents in one folder per ship, two levels below the root."""
     root = shared_dir(spark, "ships")
-    docs = sinks.land(decl.documents(spark, sf_dir), "documents")
+    docs = land(decl.documents(spark, sf_dir), "documents")
     for i, ship in enumerate(SHIPS):
         sinks.write_declaration_files(docs.filter(F.col("doc") % len(SHIPS) == i), f"{root}/queue/{ship}")
     return root
@@ -285,7 +285,7 @@ def gb_preparation(spark, sf_dir):
     A stored file holds many documents, so the file name of each is taken from its reference.
     """
     root, out = shared_dir(spark, "gb"), shared_dir(spark, "gb-queues")
-    docs = sinks.land(decl.documents(spark, sf_dir), "documents")
+    docs = land(decl.documents(spark, sf_dir), "documents")
     k = F.col("doc")
     for i, folder in enumerate(GB_FOLDERS):
         here = (k % 8 == i) | ((k % 5 == 0) & ((k + 3) % 8 == i))

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -29,29 +30,53 @@ def rows(df, *columns):
     return sorted(tuple(r) for r in df.select(*columns).collect())
 
 
-def test_numbering_with_a_hot_key_spans_buckets(spark):
+def test_numbering_with_a_hot_key_spans_ranges(spark):
     hot = spark.range(0, 5000).select(F.lit("hot").alias("k"), (F.col("id") * 7 % 5000).alias("pos"))
-    cold = spark.createDataFrame([("a", 3), ("a", 1), ("b", 9)], "k string, pos bigint")
+    cold = spark.createDataFrame([("a", 3), ("a", 1), ("b", 9), ("b", None), (None, 1)], "k string, pos bigint")
     df = hot.unionByName(cold)
-    out = numbering.number_rows(df, "n", ["k"], [numbering.bucket_of(F.col("pos"), 16)], ["pos"])
+    out = numbering.number_rows(df, "n", ["k"], "pos", bits=4)
     assert out.count() == 5003
     assert out.filter("k = 'hot' AND n <> pos + 1").count() == 0
     assert rows(out.filter("k <> 'hot'"), "k", "pos", "n") == [("a", 1, 1), ("a", 3, 2), ("b", 9, 1)]
 
 
+def tasks(df):
+    """Rows per task of the finished rows, largest first."""
+    return sorted((r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()), reverse=True)
+
+
+def test_a_hot_document_with_positions_far_apart_is_spread(spark):
+    far = F.when(F.col("id") % 2 == 0, F.col("id") * F.lit(2**40)).otherwise(-F.col("id") * F.lit(2**40))
+    df = spark.range(0, 6000).select(F.lit("doc").alias("doc"), far.alias("pos"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = numbering.number_rows(df, "n", ["doc"], "pos")
+        assert tasks(out)[0] < 2000
+        assert [r.n for r in out.orderBy("pos").collect()] == list(range(1, 6001))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_ids_follow_sparse_integers_and_no_window_sees_them_all(spark):
+    rng = random.Random(5)
+    seqs = sorted({rng.randrange(-(2**63), 2**63) for _ in range(4000)} | {-(2**63), 2**63 - 1})
+    df = spark.createDataFrame([(x,) for x in rng.sample(seqs, len(seqs))], "seq long")
+    stored = spark.createDataFrame([(7,), (41,)], "id long")
+    out = numbering.next_ids(df, stored, "seq")
+    assert [(r.seq, r.id) for r in out.orderBy("seq").collect()] == [(x, 42 + i) for i, x in enumerate(seqs)]
+    windows = [x for x in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Window [" in x]
+    assert windows and all("_rows" in x and "[_part" in x for x in windows)  # one count per partition, no rows
+
+
 def test_numbering_runs_on_across_groups_and_ranges(spark):
     big = spark.range(0, 300).select(F.lit(70000).cast("long").alias("seq"), F.col("id").alias("pos"))
-    small = spark.createDataFrame([(1, 5), (1, 900), (70001, 2)], "seq long, pos long")
+    small = spark.createDataFrame([(1, 5), (1, 900), (70001, 2), (None, 3)], "seq long, pos long")
     df = big.unionByName(small)
-    out = numbering.number_all(df, "n", "seq", [numbering.bucket_of(F.col("pos"), 16)], ["pos"])
+    out = numbering.number_all(df, "n", ["seq", "pos"])
     got = [(r.seq, r.pos) for r in out.orderBy("n").collect()]
-    assert got == sorted((r.seq, r.pos) for r in df.collect())
-    assert sorted(r.n for r in out.collect()) == list(range(1, 304))
-
-
-def test_buckets_are_exact_for_large_and_negative_numbers(spark):
-    df = spark.createDataFrame([(2**62 + 1,), (-1,), (0,)], "x long").select(numbering.bucket_of(F.col("x"), 16).alias("b"))
-    assert [r.b for r in df.collect()] == [2**62, -16, 0]
+    assert got == [(None, 3), *sorted((r.seq, r.pos) for r in df.filter("seq IS NOT NULL").collect())]
+    assert sorted(r.n for r in out.collect()) == list(range(1, 305))
+    assert numbering.number_all(df.limit(0), "n", ["seq", "pos"]).collect() == []
 
 
 def test_insert_vessels_rejects_repeats(spark, store):
