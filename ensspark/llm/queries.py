@@ -1,6 +1,6 @@
 """Registered queries of the subpackage and their SQL."""
 
-from ensspark.llm import op01_urls, op02_pii, op03_warc, op04_ngram_join, op05_topk, op06_secrets, op07_quality, op08_sentencepiece, op09_mixing, op10_mixing_lm
+from ensspark.llm import op01_urls, op02_pii, op03_warc, op04_ngram_join, op05_topk, op06_secrets, op07_quality, op08_sentencepiece, op09_mixing, op10_mixing_lm, op12_merkle
 
 QUERIES = {
     "op1_url_filter": op01_urls.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_sentencepiece": op08_sentencepiece.query,
     "op9_mixing": op09_mixing.query,
     "op10_context_mixing": op10_mixing_lm.query,
+    "op12_merkle": op12_merkle.query,
 }
 ORACLES = {
     "op1_url_filter": op01_urls.ORACLE,
@@ -20,4 +21,5 @@ ORACLES = {
     "op5_top_k": op05_topk.ORACLE,
     "op7_quality_rules": op07_quality.ORACLE,
     "op9_mixing": op09_mixing.ORACLE,
+    "op12_merkle": op12_merkle.ORACLE,
 }
