@@ -7,7 +7,7 @@ one of 2^64 cases. Long texts are cut at white space, so memory follows the chun
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +22,7 @@ LOWER = np.arange(256)
 LOWER[65:91] += 32
 VALUES = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64)[LOWER]
 _POWERS: dict[int, np.ndarray] = {}
+Cuts = Callable[[np.ndarray], np.ndarray]
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -44,8 +45,8 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _chunks(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Byte ranges of about CHUNK bytes that end at a row's end or at white space."""
+def _chunks(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Byte ranges of about CHUNK bytes that end at a row's end or between words."""
     at, end = int(offsets[0]), int(offsets[-1])
     while at < end:
         stop = min(at + CHUNK, end)
@@ -56,7 +57,7 @@ def _chunks(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
             else:
                 limit = int(offsets[np.searchsorted(offsets, at, side="right")])
                 while stop < limit:
-                    gap = np.flatnonzero(SPACE[data[stop : min(stop + CHUNK, limit)]])
+                    gap = np.flatnonzero(gaps[data[stop : min(stop + CHUNK, limit)]])
                     if len(gap):
                         stop += int(gap[0])
                         break
@@ -73,22 +74,28 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), offsets
 
 
-def words(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Per chunk: the words' hashes, rows, first bytes and bytes after the last, in the order of the text."""
+def words(texts: pa.Array, gaps: np.ndarray = SPACE, values: np.ndarray = VALUES, cuts: Cuts | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Per chunk: the words' hashes, rows, first bytes and bytes after the last, in the order of the text.
+
+    ``gaps`` tells which bytes lie between words, ``values`` has each byte's random number; ``cuts`` tells, given a
+    chunk, before which of its bytes a word ends in any case.
+    """
     data, offsets = buffers(texts)
     inverse = pow(ODD, -1, 1 << 64)
-    for a, b in _chunks(data, offsets):
+    for a, b in _chunks(data, offsets, gaps):
         d = data[a:b]
-        gap = SPACE[d]
+        gap = gaps[d]
         cut = np.zeros(b - a + 1, dtype=bool)
         cut[0] = cut[-1] = True
         cut[offsets[np.searchsorted(offsets, a) : np.searchsorted(offsets, b, side="right")] - a] = True
+        if cuts is not None:
+            cut[:-1] |= cuts(d)
         before, after = cut[:-1].copy(), cut[1:].copy()
         before[1:] |= gap[:-1]
         after[:-1] |= gap[1:]
         starts, ends = np.flatnonzero(before & ~gap), np.flatnonzero(after & ~gap) + 1
         sums = np.zeros(b - a + 1, dtype=np.uint64)
-        np.cumsum(VALUES[d] * _powers(ODD, b - a)[: b - a], out=sums[1:])
+        np.cumsum(values[d] * _powers(ODD, b - a)[: b - a], out=sums[1:])
         h = (sums[ends] - sums[starts]) * _powers(inverse, b - a)[starts]
         h = mix(h + (ends - starts).astype(np.uint64) * np.uint64(ODD2))
         yield h, np.searchsorted(offsets, a + starts, side="right") - 1, a + starts, a + ends
