@@ -41,3 +41,11 @@ def has_empty_leaf(value: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, T.ArrayType):
         return F.coalesce(F.exists(value, lambda item: has_empty_leaf(item, dtype.elementType)), F.lit(False))
     return F.coalesce(strip(value) == "", F.lit(False))
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once per row, also where ``use`` reads it for every element of an array.
+
+    The optimizer may put a column's expression into the place that reads it, there inside a loop.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))

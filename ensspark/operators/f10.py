@@ -8,12 +8,13 @@ work on rows per item and container, for documents too large for one row.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ensspark import schemas
-from ensspark.functions.nested import map_struct
+from ensspark.functions.nested import bound, map_struct
 from ensspark.functions.tariff import six_long
 from ensspark.functions.text import WHITESPACE_RUN, clean
 from ensspark.functions.values import document_time, or_default, zulu
@@ -107,18 +108,35 @@ def repair(docs: DataFrame, routes: DataFrame, offices: dict[str, str] | None =
 # --- lookups --------------------------------------------------------------------------------------
 
 
-def _matches(docs: DataFrame, key: str, values: Column, lookup: DataFrame, name: str) -> DataFrame:
-    """Map column with the lookup rows a document needs, keys in upper case.
+def _lookups(docs: DataFrame, key: str, wanted: dict[str, tuple[Column, DataFrame]]) -> DataFrame:
+    """Map columns with the lookup rows a document needs, keys in upper case: ``{name: (keys, lookup)}``.
 
-    Only distinct keys travel to the join. What comes back per document is no larger than the array
-    it came from, which already fits in the row. Documents that share a key share the map.
+    All lookups share one pass: only tagged distinct keys travel to the join, and one join brings the answers back.
+    What comes back per document is no larger than the arrays it came from, which already fit in the row. Documents
+    that share a key share the maps.
     """
-    word, answer = lookup.columns
-    table = lookup.groupBy(F.upper(word).alias("_k")).agg(F.min(answer).alias("_v"))
-    needed = docs.select(key, F.explode(F.array_distinct(values)).alias("_k")).filter("_k IS NOT NULL").distinct()
-    hits = needed.join(splittable(table, "_k"), "_k").groupBy(key)
-    maps = hits.agg(F.map_from_entries(F.collect_list(F.struct("_k", "_v"))).alias(name))
-    return docs.join(maps, key, "left")
+    if not wanted:
+        return docs
+
+    def tagged(name: str, values: Column) -> Column:
+        pairs = F.transform(F.array_distinct(values), lambda k: F.struct(F.lit(name).alias("_kind"), k.alias("_k")))
+        return F.coalesce(pairs, F.array().cast("array<struct<_kind:string,_k:string>>"))
+
+    tables = []
+    for name, (_, lookup) in wanted.items():
+        word, answer = lookup.columns
+        tables.append(lookup.select(F.lit(name).alias("_kind"), F.upper(word).alias("_k"), F.col(answer).alias("_v")))
+    keys = [tagged(name, values) for name, (values, _) in wanted.items()]
+    table = reduce(DataFrame.unionAll, tables).groupBy("_kind", "_k").agg(F.min("_v").alias("_v"))
+    needed = docs.select(key, F.inline(F.concat(*keys))).filter("_k IS NOT NULL")
+    hits = needed.join(splittable(table, "_kind", "_k"), ["_kind", "_k"]).groupBy(key)
+    found = docs.join(hits.agg(F.collect_set(F.struct("_kind", "_k", "_v")).alias("_hits")), key, "left")
+
+    def answers(name: str) -> Column:
+        own = F.filter("_hits", lambda h: h["_kind"] == name)
+        return F.map_from_entries(F.transform(own, lambda h: F.struct(h["_k"], h["_v"])))
+
+    return found.withColumns({name: answers(name) for name in wanted}).drop("_hits")
 
 
 def hs_code(tariff: Column, harmonized: Column, looked_up: Column) -> Column:
@@ -133,31 +151,56 @@ def enrich(
     hs_codes: DataFrame | None = None,
     key: str = "doc",
 ) -> DataFrame:
-    """Add ``flag``, ``size_types`` and ``hs_lookup``.
+    """Add ``flag``, ``size_types``, ``seal_of`` and, by place of the goods item, ``descriptions`` and ``item_hs``.
 
     ``flags(imo, flag)``, ``container_types(container, size_type)``, ``hs_codes(description, code)``.
     """
     d = F.col(DECL)
-    empty = F.create_map().cast("map<string,string>")
-    state = flags.select(F.col("imo").alias("_imo"), "flag")
-    docs = docs.withColumn("_imo", d["IdeOfMeaOfTraCro"]).join(state, "_imo", "left").drop("_imo")
-    docs = docs.withColumn("flag", F.coalesce("flag", F.lit("")))
-    if container_types is None:
-        docs = docs.withColumn("size_types", empty)
-    else:
+    wanted = {}
+    if container_types is not None:
         boxes = F.flatten(F.filter(d["GoodsItem"]["Container"], lambda c: c.isNotNull()))
-        numbers = F.transform(boxes, lambda c: F.upper(c["ContainerNumber"]))
-        docs = _matches(docs, key, numbers, container_types, "size_types")
-    if hs_codes is None:
-        docs = docs.withColumn("hs_lookup", empty)
-    else:
+        wanted["size_types"] = F.transform(boxes, lambda c: F.upper(c["ContainerNumber"])), container_types
+    if hs_codes is not None:
         uncoded = F.filter(
             d["GoodsItem"],
             lambda g: g["harmonizedSystemSubHeadingCode"].isNull() & g["TariffNumber"].isNull(),
         )
-        texts = F.transform(uncoded, lambda g: F.upper(clean(g["Description"])))
-        docs = _matches(docs, key, texts, hs_codes, "hs_lookup")
-    return docs
+        wanted["hs_lookup"] = F.transform(uncoded, lambda g: F.upper(clean(g["Description"]))), hs_codes
+    docs = _lookups(docs, key, wanted)  # first, so that the branch of the keys reads nothing else
+    state = flags.select(F.col("imo").alias("_imo"), "flag")
+    docs = docs.withColumn("_imo", d["IdeOfMeaOfTraCro"]).join(state, "_imo", "left").drop("_imo")
+    docs = docs.withColumn("flag", F.coalesce("flag", F.lit("")))
+    empty = F.lit(None).cast("map<string,string>")
+    docs = docs.withColumns({name: empty for name in ("size_types", "hs_lookup") if name not in wanted})
+    # each in a step of its own: what several expressions read is then computed once
+    docs = docs.withColumn("descriptions", F.transform(d["GoodsItem"], lambda g: clean(g["Description"])))
+    docs = docs.withColumn("item_hs", F.transform(d["GoodsItem"], lambda g, i: _item_hs(g, i, F.col("hs_lookup"))))
+    return docs.withColumn("seal_of", first_seals_of(d["Seal"])).drop("hs_lookup")
+
+
+def _item_hs(item: Column, i: Column, hs_lookup: Column) -> Column:
+    found = F.try_element_at(hs_lookup, F.upper(F.get(F.col("descriptions"), i)))
+    return hs_code(item["TariffNumber"], item["harmonizedSystemSubHeadingCode"], found)
+
+
+def first_seals_of(seals: Column) -> Column:
+    """Map from container, in upper case, to its first seal that names both itself and a container.
+
+    Built from the sorted seals, so that containers need not search all seals.
+    """
+    usable = F.filter(
+        seals,
+        lambda s: (F.coalesce(s["SealID"], F.lit("")) != "") & (F.coalesce(s["ContainerNumber"], F.lit("")) != ""),
+    )
+    placed = F.transform(
+        usable, lambda s, i: F.struct(F.upper(s["ContainerNumber"]).alias("box"), i.alias("pos"), s["SealID"].alias("seal"))
+    )
+
+    def first(own: Column) -> Column:
+        kept = F.filter(own, lambda s, i: (i == 0) | (F.get(own, i - 1)["box"] != s["box"]))
+        return F.map_from_entries(F.transform(kept, lambda s: F.struct(s["box"], s["seal"])))
+
+    return bound(F.array_sort(placed), first)
 
 
 # --- conversion -----------------------------------------------------------------------------------
@@ -196,45 +239,25 @@ def _given(value: Column) -> Column:
     return F.coalesce(value, F.lit(""))
 
 
-def usable_seals(seals: Column) -> Column:
-    """Seals that name both themselves and a container."""
-    return F.filter(
-        seals,
-        lambda s: (F.coalesce(s["SealID"], F.lit("")) != "") & (F.coalesce(s["ContainerNumber"], F.lit("")) != ""),
-    )
-
-
-def seal_of(seals: Column, container: Column) -> Column:
-    """First usable seal of a container, null without one."""
-    own = F.filter(usable_seals(seals), lambda s: F.upper(s["ContainerNumber"]) == F.upper(container))
-    return F.get(own, F.lit(0))["SealID"]
-
-
-def _equipment(container: Column, seals: Column, size_types: Column) -> Column:
-    number = container["ContainerNumber"]
-    seal = seal_of(seals, number)
-    size = F.try_element_at(size_types, F.upper(number))
+def _equipment(container: Column, seal_of: Column, size_types: Column) -> Column:
+    number = F.upper(container["ContainerNumber"])
+    seal = F.try_element_at(seal_of, number)
     return F.struct(
-        or_default(size, schemas.DEFAULT_CONTAINER_TYPE).alias("containerSizeAndType"),
+        or_default(F.try_element_at(size_types, number), schemas.DEFAULT_CONTAINER_TYPE).alias("containerSizeAndType"),
         F.lit("B").alias("containerPackedStatus"),
         F.lit("2").alias("containerSupplierType"),
-        _given(number).alias("containerIdentificationNumber"),
+        _given(container["ContainerNumber"]).alias("containerIdentificationNumber"),
         F.when(seal.isNull(), "0").otherwise("1").alias("numberOfSeals"),
         F.struct(F.coalesce(seal, F.lit("None")).alias("identifier")).alias("Seal"),
     )
 
 
-def _item_hs(item: Column, hs_lookup: Column) -> Column:
-    found = F.try_element_at(hs_lookup, F.upper(clean(item["Description"])))
-    return hs_code(item["TariffNumber"], item["harmonizedSystemSubHeadingCode"], found)
-
-
-def _goods_item(item: Column, i: Column, seals: Column, size_types: Column, hs_lookup: Column) -> Column:
+def _goods_item(item: Column, i: Column, seal_of: Column, size_types: Column) -> Column:
     return F.struct(
         (i + 1).cast("string").alias("goodsItemNumber"),
         F.struct(
-            _given(clean(item["Description"])).alias("descriptionOfGoods"),
-            F.struct(_item_hs(item, hs_lookup).alias("harmonizedSystemSubHeadingCode")).alias("CommodityCode"),
+            _given(F.get(F.col("descriptions"), i)).alias("descriptionOfGoods"),
+            F.struct(F.get(F.col("item_hs"), i).alias("harmonizedSystemSubHeadingCode")).alias("CommodityCode"),
             F.struct(_given(item["UnDangerousGoodsCode"]).alias("unNumber")).alias("DangerousGoods"),
         ).alias("Commodity"),
         F.struct(_given(item["GrossWeight"]).alias("grossMass")).alias("Weight"),
@@ -243,7 +266,7 @@ def _goods_item(item: Column, i: Column, seals: Column, size_types: Column, hs_l
             _given(item["Package"]["NumberOfPackages"]).alias("numberOfPackages"),
             _given(item["Package"]["KindOfPackage"]).alias("typeOfPackages"),
         ).alias("Packaging"),
-        F.transform(item["Container"], lambda c: _equipment(c, seals, size_types)).alias("TransportEquipment"),
+        F.transform(item["Container"], lambda c: _equipment(c, seal_of, size_types)).alias("TransportEquipment"),
     )
 
 
@@ -269,7 +292,7 @@ def _company(company: Company, contact: bool) -> Column:
 def reject_reason() -> Column:
     """Why an enriched document cannot be converted; null if it can."""
     d = F.col(DECL)
-    bad_hs = F.exists(d["GoodsItem"], lambda g: ~six_long(_item_hs(g, F.col("hs_lookup"))))
+    bad_hs = F.exists("item_hs", lambda code: ~six_long(code))
     return (
         F.when(F.coalesce(bad_hs, F.lit(False)), HS_FAILED)
         .when(document_time(d["DeclDateTime"]).isNull(), "Invalid DeclDateTime")
@@ -311,9 +334,9 @@ def build(enriched: DataFrame, issued: Column, company: Company) -> DataFrame:
         _given(d["TotalGrossWeight"]).alias("totalGrossMass"),
         unlocode(d["DeclPlace"]).alias("PlaceOfAcceptance"),
         consignee.alias("Consignee"),
-        F.transform(
-            d["GoodsItem"],
-            lambda g, i: _goods_item(g, i, d["Seal"], F.col("size_types"), F.col("hs_lookup")),
+        bound(
+            F.struct(F.col("seal_of").alias("seal"), F.col("size_types").alias("size")),
+            lambda m: F.transform(d["GoodsItem"], lambda g, i: _goods_item(g, i, m["seal"], m["size"])),
         ).alias("GoodsItem"),
         consignor.alias("Consignor"),
         F.struct(_given(d["TransportChargesMethodOfPayment"]).alias("methodOfPayment")).alias("TransportCharges"),
@@ -385,19 +408,34 @@ def flatten_goods(docs: DataFrame, key: str = "doc") -> DataFrame:
     Items without containers and documents without items keep a row.
     """
     d = F.col(DECL)
-    items = docs.select(key, d["Seal"].alias("_seals"), F.posexplode_outer(d["GoodsItem"]).alias("item_pos", "_item"))
-    boxes = items.select(
-        key, "_seals", "item_pos", "_item", F.posexplode_outer("_item.Container").alias("container_pos", "_box")
+
+    def box(c: Column, seal_of: Column) -> Column:
+        seal = F.try_element_at(seal_of, F.upper(c["ContainerNumber"]))
+        return F.struct(c["ContainerNumber"].alias("container"), seal.alias("seal"))
+
+    def item(g: Column, seal_of: Column) -> Column:
+        return F.struct(
+            g["Description"].alias("description"),
+            F.coalesce(g["TariffNumber"], g["harmonizedSystemSubHeadingCode"]).alias("code"),
+            g["GrossWeight"].cast("decimal(18,2)").alias("gross_weight"),
+            F.transform(g["Container"], lambda c: box(c, seal_of)).alias("boxes"),
+        )
+
+    # seals are found before anything is exploded: no row carries a document's seals or an item's other containers
+    items = docs.select(key, bound(first_seals_of(d["Seal"]), lambda m: F.transform(d["GoodsItem"], lambda g: item(g, m))).alias("_items"))
+    placed = items.select(key, F.posexplode_outer("_items").alias("item_pos", "_item")).select(key, "item_pos", "_item.*")
+    boxes = placed.select(
+        key, "item_pos", "description", "code", "gross_weight", F.posexplode_outer("boxes").alias("container_pos", "_box")
     )
     return boxes.select(
         key,
         (F.col("item_pos") + 1).alias("item_pos"),
-        F.col("_item.Description").alias("description"),
-        F.coalesce("_item.TariffNumber", "_item.harmonizedSystemSubHeadingCode").alias("code"),
-        F.col("_item.GrossWeight").cast("decimal(18,2)").alias("gross_weight"),
+        "description",
+        "code",
+        "gross_weight",
         (F.col("container_pos") + 1).alias("container_pos"),
-        F.col("_box.ContainerNumber").alias("container"),
-        seal_of(F.col("_seals"), F.col("_box.ContainerNumber")).alias("seal"),
+        "_box.container",
+        "_box.seal",
     )
 
 

@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -390,3 +391,38 @@ def test_folded_changes_merge_in_any_split(spark):
     second = entry_changes.fold(spark.createDataFrame(rows[2:], columns))
     out = entry_changes.current(entries, second.unionByName(first)).collect()
     assert [tuple(r) for r in out] == [(1, 1, "Y", day, False, "G")]
+
+
+def test_a_document_of_20000_containers(spark):
+    """Containers and seals are matched by one map per document; the first usable seal of a container wins."""
+    n = 20_000
+    boxes = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.struct(F.format_string("abcu%07d", i).alias("ContainerNumber"), F.lit("1").alias("PackageQuantity")))
+    seals = F.transform(
+        F.sequence(F.lit(2 * n), F.lit(1), F.lit(-1)),  # two seals for each container, the later ones first
+        lambda i: F.struct(
+            F.when(i % 5 == 0, "").otherwise(F.format_string("S%d", i)).alias("SealID"),
+            F.when(i % 7 != 0, F.format_string("ABCU%07d", F.floor((i + 1) / 2))).alias("ContainerNumber"),
+        ),
+    )
+    goods = F.struct(F.lit("x").alias("Description"), F.lit("701912").alias("TariffNumber"), boxes.alias("Container"))
+    declaration = F.struct(F.array(goods).alias("GoodsItem"), seals.alias("Seal"))
+    docs = spark.range(1).select(F.lit("big").alias("doc"), F.from_json(F.to_json(declaration), schemas.DECLARATION).alias(DECL))
+    started = time.time()
+    found = {r.container: r.seal for r in f10.flatten_goods(docs).collect()}
+    usable = {i: f"S{i}" for i in range(1, 2 * n + 1) if i % 5 and i % 7}
+    assert found == {f"abcu{c:07d}": usable.get(2 * c) or usable.get(2 * c - 1) for c in range(1, n + 1)}
+    assert time.time() - started < 60
+
+
+def test_lookups_share_one_pass(docs, spark):
+    types = spark.createDataFrame([("abcu0000001", "22G1"), ("ABCU0000001", "45G1")], "container string, size_type string")
+    codes = spark.createDataFrame([("glass fibre", "701912")], "description string, code string")
+    plain, both = convert(docs, spark), convert(docs, spark, container_types=types, hs_codes=codes)
+    row = by_doc(both)
+    assert row["A"].F10.SMFENS2FilingBody.ConsignmentMasterLevel.ConsignmentHouseLevel.GoodsItem[0].TransportEquipment[0].containerSizeAndType == "22G1"
+    assert row["C"].item_hs == ["701912", "70191"] and by_doc(plain)["C"].item_hs == [None, "70191"]
+
+    def joins(df):
+        return df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+
+    assert joins(both) - joins(plain) == 2  # keys with answers, answers with documents
