@@ -82,6 +82,9 @@ def test_folders(spark, folder):
     assert sorted((r.file_name, r.folder_pos) for r in found.collect()) == [("a.xml", 2), ("a.xml", 7), ("b 1.XML", 2)]
     last = headers.latest_by_file_name(found.select("file_name", "folder", "folder_pos"), "folder_pos")
     assert {(r.file_name, r.folder) for r in last.collect()} == {("a.xml", "ESCAS"), ("b 1.XML", "EGALY")}
+    assert {f.split("/")[-2] for f in source.read_gb_candidates(spark, str(folder)).inputFiles()} == {"EGALY", "ESCAS"}
+    none = source.read_gb_candidates(spark, str(folder), ["MISSING", "a{b,c}*"])
+    assert none.collect() == [] and none.columns == found.columns
 
 
 def test_text_read_kind_and_empty_tags(spark, folder):
