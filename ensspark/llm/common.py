@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import sys
+import types
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -63,6 +69,23 @@ class Smallest:
         return [(t, h >> 1) for t, h in sorted(self.kept.items(), key=lambda x: (x[1], x[0]))[: self.n]]
 
 
+def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same batches; after the last one the worker gives free memory back, since it stays beside later stages."""
+    yield from batches
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def kept[T](name: str, make: Callable[[], T]) -> T:
+    """What a worker process keeps from task to task; modules that travel by value don't."""
+    held = sys.modules.setdefault("_kept_by_worker", types.ModuleType("_kept_by_worker")).__dict__
+    if name not in held:
+        held[name] = make()
+    return held[name]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -15,6 +15,7 @@ pieces, which are of a fixed number.
 from __future__ import annotations
 
 import heapq
+import itertools
 import re
 from collections.abc import Iterator, Sequence
 
@@ -24,11 +25,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ensspark.llm.common import prepared, table
+from ensspark.llm.common import prepared, table, trimmed
 
 MODEL = "piece_bpe_32k.model"  # of the public tokenizers' folder, unless a path is given
 N_BEST = 4
 KNOWN_PARTS = 400_000  # parts that a task remembers at a time
+WIDEST = 64  # longest part, in characters, that is searched side by side with others of its length
+ROWS = 1 << 13  # parts that are searched at once
+FACTOR, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 PART = re.compile(r" *[^ ]+| +")
 BLANK = "▁"
 Part = tuple[list[float], list[list[int]]]  # scores and ids, best first
@@ -66,6 +70,100 @@ class Pieces:
         self.starts: dict[str, tuple[int, float] | None] = {t[:k]: None for t in self.scores for k in range(1, len(t))}
         self.starts.update(self.scores)
         self.unknown = min(s for _, s in self.scores.values()) - 10.0  # a character in bytes is worse than any piece
+        self.tables = self._tables()
+
+    def _tables(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """By length: sorted 64-bit hashes of all beginnings of pieces, their ids (-1 if they are none) and scores."""
+        found = []
+        for k in range(1, self.longest + 1):
+            own = [(t, x) for t, x in self.starts.items() if len(t) == k]
+            codes = np.frombuffer("".join(t for t, _ in own).encode("utf-32-le"), np.uint32).reshape(-1, k).astype(np.uint64)
+            h = np.zeros(len(own), np.uint64)
+            for i in range(k):
+                h = h * FACTOR + (codes[:, i] + np.uint64(1)) * SPREAD
+            order = np.argsort(h)
+            ids = np.array([-1 if x is None else x[0] for _, x in own], np.int32)
+            scores = np.array([0.0 if x is None else x[1] for _, x in own])
+            if len(np.unique(h)) < len(h):
+                raise ValueError("two beginnings of pieces have the same hash")
+            found.append((h[order], ids[order], scores[order]))
+        return found
+
+    def firsts(self, parts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``first`` of many parts: best scores, what the second best lose, numbers of ids, ids one part after the other."""
+        size = np.array([len(p) for p in parts], np.int64)
+        codes = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        start = np.cumsum(size) - size
+        score, gap, count, held = np.zeros(len(parts)), np.zeros(len(parts)), np.zeros(len(parts), np.int64), []
+        order = np.argsort(size, kind="stable")
+        cuts = np.flatnonzero(np.diff(size[order])) + 1
+        for same in np.split(order, cuts) if len(order) else []:
+            width = int(size[same[0]])
+            if width > WIDEST:
+                for k in same.tolist():
+                    score[k], gap[k], ids = self.first(parts[k])
+                    count[k] = len(ids)
+                    held.append((np.array([k]), np.array(ids, np.int32)))
+                continue
+            for a in range(0, len(same), ROWS):
+                own = same[a : a + ROWS]
+                score[own], gap[own], count[own], ids = self._side_by_side(codes[start[own] + np.arange(width)[:, None]])
+                held.append((own, ids))
+        begin = np.zeros(len(parts), np.int64)
+        at = 0
+        for own, ids in held:
+            begin[own] = at + np.cumsum(count[own]) - count[own]
+            at += len(ids)
+        flat = np.concatenate([ids for _, ids in held]) if held else np.zeros(0, np.int32)
+        return score, gap, count, gathered(flat, begin, count)
+
+    def _side_by_side(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Forward Viterbi over columns of code points, one part each."""
+        width, many = codes.shape
+        best, second = np.full((width + 1, many), -np.inf), np.full((width + 1, many), -np.inf)
+        back, what = np.zeros((width + 1, many), np.int16), np.full((width + 1, many), -1, np.int32)
+        best[0] = 0.0
+        terms = (codes.astype(np.uint64) + np.uint64(1)) * SPREAD
+
+        def relax(i: int, j: int, rows: np.ndarray, gain: np.ndarray | float, ids: np.ndarray | int) -> None:
+            score, top, next_ = best[i, rows] + gain, best[j, rows], second[j, rows]
+            up = score > top
+            second[j, rows] = np.where(up, np.maximum(top, second[i, rows] + gain), np.maximum(next_, score))
+            best[j, rows] = np.where(up, score, top)
+            won = rows[up]
+            back[j, won] = i
+            what[j, won] = ids if np.isscalar(ids) else ids[up]
+
+        for i in range(width):
+            live, h, single = np.arange(many), np.zeros(many, np.uint64), np.zeros(many, bool)
+            for k in range(1, min(self.longest, width - i) + 1):
+                keys, ids, scores = self.tables[k - 1]
+                h = h * FACTOR + terms[i + k - 1, live]
+                at = np.searchsorted(keys, h)
+                at[at == len(keys)] = 0
+                known = keys[at] == h
+                live, h, at = live[known], h[known], at[known]
+                if not len(live):
+                    break
+                piece = ids[at] >= 0
+                rows, at = live[piece], at[piece]
+                if k == 1:
+                    single[rows] = True
+                relax(i, i + k, rows, scores[at], ids[at])
+            relax(i, i + 1, np.flatnonzero(~single), self.unknown, -1)
+        j, rows, steps = np.full(many, width), np.arange(many), []
+        while len(rows):
+            steps.append((rows, what[j[rows], rows], back[j[rows], rows].astype(np.int64)))
+            j[rows] = steps[-1][2]
+            rows = rows[j[rows] > 0]
+        owner, ids, place = (np.concatenate(x) for x in zip(*steps, strict=True))
+        order = np.lexsort((place, owner))
+        owner, ids, place = owner[order], ids[order], place[order]
+        if (ids < 0).any():  # characters without a piece are spelt in bytes
+            spelt = [[x] if x >= 0 else [self.bytes[b] for b in chr(codes[p, r]).encode("utf-8", "surrogatepass")] for x, p, r in zip(ids.tolist(), place.tolist(), owner.tolist(), strict=True)]
+            owner = np.repeat(owner, [len(x) for x in spelt])
+            ids = np.array([i for x in spelt for i in x], np.int32)
+        return best[width], best[width] - second[width], np.bincount(owner, minlength=many), ids
 
     def first(self, part: str) -> tuple[float, float, list[int]]:
         """Forward Viterbi: the best score, how much the second best loses, the best ids."""
@@ -178,29 +276,18 @@ class Encoder:
 
     def forget(self) -> None:
         self.index: dict[str, int] = {}
-        self.fresh: list[tuple[float, float, int]] = []
-        self.fresh_ids: list[int] = []
         self.more: dict[str, Part] = {}  # second and further choices: what they lose, their ids
         self.best, self.gap, self.start, self.count = Grown(np.float64), Grown(np.float64), Grown(np.int64), Grown(np.int64)
         self.ids = Grown(np.int32)
 
-    def add(self, part: str) -> int:
-        score, gap, ids = self.pieces.first(part)
-        self.index[part] = k = len(self.index)
-        self.fresh.append((score, gap, len(ids)))
-        self.fresh_ids += ids
-        return k
-
-    def settle(self) -> None:
-        """Move newly met parts into the arrays."""
-        if self.fresh:
-            score, gap, count = zip(*self.fresh, strict=True)
-            self.start.extend(self.ids.size + np.cumsum(count) - np.array(count))
-            self.best.extend(score)
-            self.gap.extend(gap)
-            self.count.extend(count)
-            self.ids.extend(self.fresh_ids)
-            self.fresh, self.fresh_ids = [], []
+    def learn(self, parts: Sequence[str]) -> None:
+        """Take in parts that are not known yet."""
+        score, gap, count, ids = self.pieces.firsts(parts)
+        self.start.extend(self.ids.size + np.cumsum(count) - count)
+        self.best.extend(score)
+        self.gap.extend(gap)
+        self.count.extend(count)
+        self.ids.extend(ids)
 
     def choices(self, part: str) -> Part:
         """What the further segmentations of a part lose, and their ids."""
@@ -222,14 +309,9 @@ class Encoder:
         if len(self.index) > KNOWN_PARTS or self.ids.size > 8 * KNOWN_PARTS:
             self.forget()
         names = [PART.findall(" " + t) if t else [] for t in texts]
-        get, add = self.index.get, self.add
-        at: list[int] = []
-        for own in names:
-            for name in own:
-                k = get(name)
-                at.append(add(name) if k is None else k)
-        self.settle()
-        index = np.array(at, dtype=np.int64)
+        known, number = len(self.index), self.index.setdefault
+        index = np.array([number(name, len(self.index)) for own in names for name in own], dtype=np.int64)
+        self.learn(list(itertools.islice(reversed(self.index), len(self.index) - known))[::-1])
         parts = np.concatenate(([0], np.cumsum([len(own) for own in names]))).astype(np.int64)
         sizes = self.count.values[index]
         ids = gathered(self.ids.values, self.start.values[index], sizes)
@@ -290,7 +372,7 @@ def encoded(docs: DataFrame, text: str = "text", n: int = N_BEST, model: str | N
             arrays = [batch[1], pa.array(np.diff(bounds).astype(np.int32)), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids)), pa.array(scores, pa.float64()), pa.array(others, OTHER), same]
             yield pa.RecordBatch.from_arrays(arrays, names=["row", "n_tokens", "ids", "score", "others", "round_trip"])
 
-    return rows.mapInArrow(run, f"row {row_type}, n_tokens int, ids array<int>, score double, others {OTHERS}, round_trip boolean")
+    return rows.mapInArrow(lambda x: trimmed(run(x)), f"row {row_type}, n_tokens int, ids array<int>, score double, others {OTHERS}, round_trip boolean")
 
 
 def decoded(rows: DataFrame, ids: str = "ids", model: str | None = None) -> DataFrame:
@@ -306,7 +388,7 @@ def decoded(rows: DataFrame, ids: str = "ids", model: str | None = None) -> Data
             found = encoder.decode(bounds - bounds[0], batch[0].values.to_numpy()[bounds[0] : bounds[-1]])
             yield pa.RecordBatch.from_arrays([batch[1], found.cast(pa.string())], names=["row", "text"])
 
-    return rows.mapInArrow(run, f"row {row_type}, text string")
+    return rows.mapInArrow(lambda x: trimmed(run(x)), f"row {row_type}, text string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
