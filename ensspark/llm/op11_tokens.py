@@ -1,19 +1,21 @@
 """Token ids of a corpus as sharded wavelet matrices.
 
-Each distinct atom of a task is encoded once by the tokenizers library and remembered; a text's ids are those of its
+Each distinct atom of a worker is encoded once by the tokenizers library and remembered; a text's ids are those of its
 atoms, and an end id follows every document. Atoms are words cut between ASCII letters, digits and other signs (but for
 the apostrophe), whatever the case of ASCII letters. That holds for tokenizers that drop white space, cut there too and
 know small letters only, which is tried on the driver before. In texts with characters above U+017F, some of which
 combine with what precedes them, atoms are whole words as they stand; texts with a special token's string are encoded
 as a whole. Documents are dealt by
-sampled ranges of their id and sorted; a task rolls shards of about ``SHARD_TOKENS`` ids, each one compressed file
-(``wavelet.py``) with its documents' bounds, written under a temporary name, renamed when complete. The manifest is
+sampled ranges of their id and sorted; a task encodes them and rolls shards of about ``SHARD_TOKENS`` ids, each one
+compressed file (``wavelet.py``) with its documents' bounds, written under a temporary name, renamed when complete. The manifest is
 written last, with the sums of earlier shards' ids; readers trust the files that it lists, and check their hashes.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
+import os
 import uuid
 import zlib
 from collections.abc import Iterator, Sequence
@@ -26,13 +28,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ensspark.llm import wavelet
-from ensspark.llm.common import landed, prepared, table, work_dir
+from ensspark.llm.common import kept, prepared, table, trimmed, work_dir
+from ensspark.llm.op08_sentencepiece import Grown, gathered
 from ensspark.llm.words import buffers, words
 
 TOKENIZER = "word_bpe_49k.json"  # of the public tokenizers' folder, unless a path is given
 END = 2  # fixed value of the contract
 SHARD_TOKENS = 1 << 22
-CACHED_WORDS = 1 << 19
+CACHED_ATOMS = 1 << 20  # atoms that a worker remembers, with CACHED_IDS ids: 40 MB
 CACHED_IDS = 1 << 22
 READERS = 10_000  # tasks that read shards back, at most
 WIDE = 0xC6  # first byte of characters from U+0180 on, some of which combine with the character before
@@ -85,39 +88,45 @@ class Encoder:
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.model = Tokenizer.from_str(spec)
+        self.units = self.model.model
         self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
         self.forget()
 
     def forget(self) -> None:
         self.known, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted hashes, their places in the bounds
-        self.bounds, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        self.bounds, self.ids = Grown(np.int64), Grown(np.uint32)
+        self.bounds.extend([0])
 
     def learn(self, hashes: np.ndarray, spelt: list[str]) -> None:
-        found = [x.ids for x in self.model.encode_batch_fast(spelt, add_special_tokens=False)]
-        place = np.concatenate((self.place, len(self.known) + np.arange(len(found))))
-        self.bounds = np.concatenate((self.bounds, self.bounds[-1] + np.cumsum([len(x) for x in found])))
-        self.ids = np.concatenate((self.ids, np.array([i for x in found for i in x], np.uint32)))
-        known = np.concatenate((self.known, hashes))
-        order = np.argsort(known, kind="stable")
-        self.known, self.place = known[order], place[order]
-
-    def _chunk(self, data: np.ndarray, h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of a chunk's words, one after the other, and how many each has."""
+        # an atom of ASCII letters is one unit for the model; the others pass the normalizer and the splitter
+        found = [[x.id for x in self.units.tokenize(w.lower())] if w.isascii() and w.isalpha() else None for w in spelt]
+        rest = [i for i, x in enumerate(found) if x is None]
+        for i, x in zip(rest, self.model.encode_batch_fast([spelt[i] for i in rest], add_special_tokens=False), strict=True):
+            found[i] = x.ids
+        place = len(self.known) + np.arange(len(found))
+        self.bounds.extend(self.ids.size + np.cumsum([len(x) for x in found]))
+        self.ids.extend(np.fromiter(itertools.chain.from_iterable(found), np.uint32))
+        at = np.searchsorted(self.known, hashes)  # both are sorted
+        self.known, self.place = np.insert(self.known, at, hashes), np.insert(self.place, at, place)
+
+    def _words(self, data: np.ndarray, h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a batch's words, one after the other, and how many each has."""
         distinct, first, back = np.unique(h, return_index=True, return_inverse=True)
         at = np.searchsorted(self.known, distinct)
         new = np.ones(len(distinct), bool)
         inside = at < len(self.known)
         new[inside] = self.known[at[inside]] != distinct[inside]
-        if new.any() and (len(self.known) + new.sum() > CACHED_WORDS or len(self.ids) > CACHED_IDS):
+        if new.any() and (len(self.known) + new.sum() > CACHED_ATOMS or self.ids.size > CACHED_IDS):
             self.forget()
             new[:] = True
         if new.any():
             where = first[new]
             self.learn(distinct[new], [data[a:b].tobytes().decode() for a, b in zip(starts[where], ends[where], strict=True)])
         place = self.place[np.searchsorted(self.known, distinct)][back]
-        low, count = self.bounds[place], self.bounds[place + 1] - self.bounds[place]
-        return self.ids[np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())], count
+        low, count = self.bounds.values[place], self.bounds.values[place + 1] - self.bounds.values[place]
+        return gathered(self.ids.values, low, count), count
 
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """Ids of each text; a null has none."""
@@ -126,7 +135,7 @@ class Encoder:
         for s in self.special:
             special |= pc.match_substring(plain, s).to_numpy(zero_copy_only=False)
         data, bounds = buffers(plain)
-        high = np.flatnonzero(data >= WIDE)
+        high = bounds[0] + np.flatnonzero(data[bounds[0] : bounds[-1]] >= WIDE)
         wide = np.searchsorted(high, bounds[1:]) > np.searchsorted(high, bounds[:-1])
         parts = [self._ids(plain, ~special & ~wide, {"cuts": atoms}), self._ids(plain, ~special & wide, {"values": EXACT})]
         for r in range(len(plain)):
@@ -138,46 +147,32 @@ class Encoder:
 
     def _ids(self, texts: pa.Array, which: np.ndarray, how: dict) -> tuple[np.ndarray, np.ndarray]:
         """Ids of some of the texts, one text after the other, and each text's bounds."""
-        chosen, total, found = np.flatnonzero(which), np.zeros(len(which), np.int64), []
+        chosen, total = np.flatnonzero(which), np.zeros(len(which), np.int64)
         own = texts.take(pa.array(chosen))
         data, _ = buffers(own)
-        for h, row, starts, ends in words(own, **how):
-            if len(h):
-                ids, count = self._chunk(data, h, starts, ends)
-                found.append(ids)
-                total[chosen] += np.bincount(row, count, len(own)).astype(np.int64)
-        return np.concatenate(found) if found else np.zeros(0, np.uint32), np.concatenate(([0], np.cumsum(total)))
-
-
-def encoded(docs: DataFrame, spec: str, end: int | None = END, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Each document's ids as little-endian unsigned integers: ``(id, row, n, ids)``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(spec)
-        tail = np.array([] if end is None else [end], np.uint32)
-        for batch in batches:
-            ids = [np.concatenate((x, tail)) for x in encoder.encode(batch["text"])]
-            kind = "<u2" if encoder.model.get_vocab_size() <= 1 << 16 else "<u4"
-            packed = pa.array([x.astype(kind).tobytes() for x in ids], pa.binary())
-            yield pa.RecordBatch.from_pydict({"id": batch["id"], "row": batch["row"], "n": pa.array([len(x) for x in ids], pa.int64()), "ids": packed})
-
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "id long, row long, n long, ids binary")
+        parts = [p for p in words(own, **how) if len(p[0])]
+        if not parts:
+            return np.zeros(0, np.uint32), np.zeros(len(which) + 1, np.int64)
+        h, row, starts, ends = (np.concatenate(x) for x in zip(*parts, strict=True))
+        ids, count = self._words(data, h, starts, ends)
+        total[chosen] = np.bincount(row, count, len(own)).astype(np.int64)
+        return ids, np.concatenate(([0], np.cumsum(total)))
 
 
 def write(docs: DataFrame, out: str, path: str | None = None, end: int | None = END, shard_tokens: int = SHARD_TOKENS,
           key: str = "doc_id", text: str = "text") -> DataFrame:
     """Write all documents' ids below ``out`` in ascending order of their id; returns the manifest.
 
-    Documents without an id come first; equal ids are ordered by their ids' hash. A null or empty text has the end id
+    Documents without an id come first; equal ids are ordered by their text's hash. A null or empty text has the end id
     only. Repeated rows are documents of their own. An empty table gives an empty manifest. Documents are never cut, so
     a shard may exceed ``shard_tokens`` by its last document. Other columns are ignored.
     """
     spark, spec = docs.sparkSession, specification(path)
-    rows = landed(encoded(docs, spec, end, key, text).withColumn("hash", F.xxhash64("ids")), "token-ids")
     order = ["id", "hash", "row"]
-    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "n", "ids")
-    dealt.mapInArrow(_writer(out, spec, shard_tokens), MANIFEST).write.json(f"{out}/shards")
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("hash"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "text")
+    writer = _writer(out, spec, end, shard_tokens)
+    dealt.mapInArrow(lambda x: trimmed(writer(x)), MANIFEST).write.json(f"{out}/shards")
     shards = spark.read.schema(MANIFEST).json(f"{out}/shards")
     # two steps: inside a task's shards, then over the tasks, of which there are as many as shuffle partitions
     inside = F.coalesce(F.sum("tokens").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -189,22 +184,21 @@ def write(docs: DataFrame, out: str, path: str | None = None, end: int | None =
     return spark.read.schema(f"{MANIFEST}, start long").json(f"{out}/manifest")
 
 
-def _writer(out: str, spec: str, shard_tokens: int):
+def _writer(out: str, spec: str, end: int | None, shard_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        size = Tokenizer.from_str(spec).get_vocab_size()
-        width, kind = max(1, (size - 1).bit_length()), "<u2" if size <= 1 << 16 else "<u4"
+        encoder, tail = kept(f"tokens-{zlib.crc32(spec.encode())}", lambda: Encoder(spec)), np.array([] if end is None else [end], np.uint32)
+        size = encoder.model.get_vocab_size()
+        width, kind = max(1, (size - 1).bit_length()), np.uint16 if size <= 1 << 16 else np.uint32
         part, held, tokens, done = TaskContext.get().partitionId(), [], 0, []
         for batch in batches:
-            for key, n, ids in zip(batch["id"].to_pylist(), batch["n"].to_pylist(), batch["ids"], strict=True):
-                held.append((key, n, ids.as_buffer().to_pybytes()))
-                tokens += n
+            for key, ids in zip(batch["id"].to_pylist(), encoder.encode(batch["text"]), strict=True):
+                held.append((key, np.concatenate((ids, tail)).astype(kind)))
+                tokens += len(held[-1][1])
                 if tokens >= shard_tokens:
-                    done.append(_shard(out, part, len(done), held, kind, width))
+                    done.append(_shard(out, part, len(done), held, width))
                     held, tokens = [], 0
         if held:
-            done.append(_shard(out, part, len(done), held, kind, width))
+            done.append(_shard(out, part, len(done), held, width))
         columns = ["part", "seq", "file", "documents", "tokens", "bytes", "sha256"]
         types = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
         yield pa.RecordBatch.from_pylist([dict(zip(columns, x, strict=True)) for x in done], schema=pa.schema(list(zip(columns, types, strict=True))))
@@ -218,11 +212,11 @@ def _filesystem(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or not uri.startswith("file:") else uri.replace("file:", "file://", 1))
 
 
-def _shard(out: str, part: int, seq: int, held: list, kind: str, width: int) -> tuple:
+def _shard(out: str, part: int, seq: int, held: list, width: int) -> tuple:
     """Write a shard's file under a temporary name and rename it."""
-    values = np.frombuffer(b"".join(x[2] for x in held), kind)
+    values = np.concatenate([x[1] for x in held])
     keys, nulls = np.array([x[0] or 0 for x in held]), np.array([x[0] is None for x in held])
-    bounds = np.concatenate(([0], np.cumsum([x[1] for x in held])))
+    bounds = np.concatenate(([0], np.cumsum([len(x[1]) for x in held])))
     data = wavelet.built(values, width, keys, nulls, bounds)
     system, base = _filesystem(out)
     name = f"tokens-{part:06d}-{seq:05d}.wm"
@@ -258,7 +252,7 @@ def _each_shard(manifest: DataFrame, schema: str, rows) -> DataFrame:
             for entry in batch.to_pylist():
                 yield from rows(entry)
 
-    return manifest.repartition(min(READERS, max(1, manifest.count()))).mapInArrow(run, schema)
+    return manifest.repartition(min(READERS, max(1, manifest.count()))).mapInArrow(lambda x: trimmed(run(x)), schema)
 
 
 def read(manifest: DataFrame, out: str, ids: bool = False) -> DataFrame:

@@ -57,7 +57,7 @@ def test_encoder_agrees_with_the_library(model):
 
 
 def test_encoder_forgets(model, monkeypatch):
-    monkeypatch.setattr(op11_tokens, "CACHED_WORDS", 50)
+    monkeypatch.setattr(op11_tokens, "CACHED_ATOMS", 50)
     encoder = op11_tokens.Encoder(op11_tokens.specification())
     texts = [" ".join(f"w{chr(97 + i % 26)}{chr(97 + j % 26)}x" for j in range(i, i + 30)) for i in range(60)]
     for a in range(0, 60, 7):
