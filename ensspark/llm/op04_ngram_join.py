@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ensspark.llm.common import landed, prepared, salted, table
+from ensspark.llm.common import landed, partitions, prepared, salted, table, trimmed
 from ensspark.llm.words import ODD, mix, shingle_sets
 
 # Fixed values of the contract: five words, a similarity of 75 of 100.
@@ -76,7 +76,7 @@ def members(docs: DataFrame, key: str, text: str) -> DataFrame:
             sets, bounds = shingle_sets(batch[1], WORDS)
             yield pa.RecordBatch.from_arrays([batch[0], pa.array(np.diff(bounds)), pa.array(class_keys(sets, bounds).view(np.int64)), batch[2]], names=["id", "n", "class", "h"])
 
-    return rows.mapInArrow(run, "id long, n long, class long, h long")
+    return rows.mapInArrow(lambda x: trimmed(run(x)), "id long, n long, class long, h long")
 
 
 BLOCK = "fragment int, kind int, classes binary, sizes binary, counts binary, shingles binary"
@@ -101,7 +101,7 @@ def blocks(docs: DataFrame, text: str, fragments: int) -> DataFrame:
         if held:
             yield _packed(held, fragments)
 
-    return rows.mapInArrow(run, BLOCK)
+    return rows.mapInArrow(lambda x: trimmed(run(x)), BLOCK)
 
 
 def _seven(shingles: np.ndarray) -> bytes:
@@ -153,7 +153,8 @@ def _packed(held: list, fragments: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["fragment", "kind", "classes", "sizes", "counts", "shingles"])
 
 
-LIVE = "class long, n long, part long, live binary"
+LIVE = "bucket int, classes binary, sizes binary, counts binary, records binary"
+SURVIVORS = "class long, n long, live long, prefix array<long>, segments array<binary>"
 
 
 def _entries(block: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -167,12 +168,11 @@ def _entries(block: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return join(classes, np.int64), join(sizes, np.uint32), join(shingles, np.uint64)
 
 
-def _live(block: pa.Table) -> pa.Table:
-    """Live shingles of a fragment by class; a live shingle's upper byte ranks it by its number of classes.
+def _live(block: pa.Table, buckets: int) -> pa.Table:
+    """Live shingles of a fragment, packed by buckets of classes; their upper byte ranks them by their number of classes.
 
-    Hot shingles come one by one, to be united later. ``part`` tells the rows of a class apart.
+    Hot shingles of any fragment are among them, to be united with the others of their class.
     """
-    fragment = block["fragment"][0].as_py()
     kind = block["kind"]
     classes, sizes, shingles = _entries(block.filter(pc.equal(kind, 0)))
     marks = [_eight(x.as_py()) for x in block.filter(pc.equal(kind, 2))["shingles"]]
@@ -196,49 +196,59 @@ def _live(block: pa.Table) -> pa.Table:
     rank = np.where(hot, HOT_RANK, np.minimum(8 * np.log2(np.maximum(classes_of, 1)), 254).astype(np.uint64))
     records = (shingles | (rank << np.uint64(56)))[keep]
     classes, sizes = classes[keep], sizes[keep]
-    order = np.argsort(classes, kind="stable")
-    records, classes, sizes = records[order], classes[order], sizes[order]
-    start = np.flatnonzero(np.concatenate(([True], classes[1:] != classes[:-1]))) if len(classes) else np.zeros(0, np.int64)
-    parts = [_rows(classes[start], sizes[start], np.full(len(start), -1 - fragment, np.int64), start, records)]
-    classes, sizes, shingles = _entries(block.filter(pc.equal(kind, 1)))
-    parts.append(_rows(classes, sizes, shingles.astype(np.int64), np.arange(len(classes)), shingles | (HOT_RANK << np.uint64(56))))
-    return pa.concat_tables(parts)
+    more = _entries(block.filter(pc.equal(kind, 1)))
+    classes, sizes = np.concatenate((classes, more[0])), np.concatenate((sizes, more[1]))
+    records = np.concatenate((records, more[2] | (HOT_RANK << np.uint64(56))))
+    bucket = (classes.view(np.uint64) % np.uint64(buckets)).astype(np.int32)
+    order = np.lexsort((classes, bucket))
+    classes, sizes, records, bucket = classes[order], sizes[order], records[order], bucket[order]
+    cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))) if len(bucket) else np.zeros(1, np.int64)
+    rows = []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        own = classes[a:b]
+        first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+        counts = np.diff(np.concatenate((first, [b - a]))).astype(np.uint32)
+        rows.append((int(bucket[a]), own[first].tobytes(), sizes[a:b][first].tobytes(), counts.tobytes(), records[a:b].tobytes()))
+    kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+    return pa.table({c: pa.array([r[i] for r in rows], t) for i, (c, t) in enumerate(zip(["bucket", "classes", "sizes", "counts", "records"], kinds, strict=True))})
 
 
-def _rows(classes: np.ndarray, sizes: np.ndarray, part: np.ndarray, start: np.ndarray, records: np.ndarray) -> pa.Table:
-    offsets = (np.concatenate((start, [len(records)])) * 8).astype(np.int32)
-    live = pa.BinaryArray.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(records).tobytes())])
-    return pa.table({"class": pa.array(classes), "n": pa.array(sizes.astype(np.int64)), "part": pa.array(part), "live": live})
+def _united(block: pa.Table) -> pa.Table:
+    """The classes of a bucket that may have links, from what all fragments hold of them."""
+    read = lambda name, kind: [np.frombuffer(x.as_py(), dtype=kind) for x in block[name]]
+    counts = read("counts", np.uint32)
+    spread = lambda name, kind: np.concatenate([np.repeat(x, k) for x, k in zip(read(name, kind), counts, strict=True)])
+    classes, sizes, records = spread("classes", np.int64), spread("sizes", np.uint32), np.concatenate(read("records", np.uint64))
+    order = np.lexsort((records, classes))
+    classes, sizes, records = classes[order], sizes[order], records[order]
+    new = np.ones(len(classes), dtype=bool)  # a shingle that is hot in one slice only comes twice
+    new[1:] = (classes[1:] != classes[:-1]) | (records[1:] != records[:-1])
+    classes, sizes, records = classes[new], sizes[new].astype(np.int64), records[new]
+    start = np.flatnonzero(np.concatenate(([True], classes[1:] != classes[:-1])))
+    end = np.concatenate((start[1:], [len(classes)]))
+    need = least_overlap(sizes[start])
+    kept = end - start >= need
+    start, end, need = start[kept], end[kept], need[kept]
+    prefix, segments = [], []
+    for a, b, most in zip(start.tolist(), end.tolist(), need.tolist(), strict=True):
+        own = records[a:b]
+        prefix.append(own[: b - a - most + 1].view(np.int64))
+        segment = (own & LOW) >> np.uint64(54)
+        segments.append([own[segment == f].tobytes() for f in range(SEGMENTS)])
+    return pa.table({
+        "class": pa.array(classes[start]), "n": pa.array(sizes[start]), "live": pa.array(end - start),
+        "prefix": pa.array(prefix, pa.list_(pa.int64())), "segments": pa.array(segments, pa.list_(pa.binary())),
+    })
 
 
 def survivors(docs: DataFrame, text: str, shingles: int) -> DataFrame:
     """Classes that may have links: size, prefix and segments of their live shingles. Landed."""
     fragments = max(1, -(-shingles // FRAGMENT))
-    dealt = blocks(docs, text, fragments).repartition(max(fragments, 1), "fragment")
-    live = dealt.groupBy("fragment").applyInArrow(_live, LIVE)
-    once = live.groupBy("class", "part").agg(F.first("n").alias("n"), F.first("live").alias("live"))
-    whole = once.groupBy("class").agg(F.first("n").alias("n"), F.sum(F.octet_length("live")).alias("bytes"), F.collect_list("live").alias("live"))
-    whole = whole.where(F.col("bytes") * 100 >= F.col("n") * 8 * PERCENT)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept, prefix, segments, alive = [], [], [], []
-            for at, (n, live) in enumerate(zip(batch[1].to_pylist(), batch[2].to_pylist(), strict=True)):
-                # a shingle that is hot in one slice only comes alone and in its fragment's row
-                records = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in live]))
-                if len(records) < least_overlap(n):
-                    continue
-                kept.append(at)
-                prefix.append(records[: len(records) - least_overlap(n) + 1].view(np.int64))
-                alive.append(len(records))
-                own = (records & LOW) >> np.uint64(54)
-                segments.append([records[own == f].tobytes() for f in range(SEGMENTS)])
-            own = batch.take(pa.array(kept, pa.int64()))
-            arrays = [own[0], own[1], pa.array(alive, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(segments, pa.list_(pa.binary()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["class", "n", "live", "prefix", "segments"])
-
-    found = whole.select("class", "n", "live").mapInArrow(run, "class long, n long, live long, prefix array<long>, segments array<binary>")
-    return landed(found, "join-survivors")
+    # what the fragments answer is packed as well: a row for each fragment and bucket of classes
+    buckets = max(partitions(docs.sparkSession), fragments // 2)
+    dealt = blocks(docs, text, fragments).repartition(fragments, "fragment")
+    live = dealt.groupBy("fragment").applyInArrow(lambda block: _live(block, buckets), LIVE)
+    return landed(live.groupBy("bucket").applyInArrow(_united, SURVIVORS), "join-survivors")
 
 
 def may_link(n: Column, rest: Column, n2: Column, rest2: Column) -> Column:
@@ -270,7 +280,7 @@ def verified(pairs: DataFrame, segments: DataFrame) -> DataFrame:
             partial = np.bincount(keys[0, 1:][twice].astype(np.int64), minlength=len(batch) * SEGMENTS).reshape(-1, SEGMENTS)
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(partial.tolist(), pa.list_(pa.int64()))], names=["a", "b", "na", "nb", "partial"])
 
-    counted = both.mapInArrow(run, "a long, b long, na long, nb long, partial array<long>")
+    counted = both.mapInArrow(lambda x: trimmed(run(x)), "a long, b long, na long, nb long, partial array<long>")
     common = F.aggregate("partial", F.lit(0).cast("long"), lambda x, y: x + y)
     return landed(counted.where(100 * common >= PERCENT * (F.col("na") + F.col("nb") - common)).select("a", "b"), "join-links")
 
