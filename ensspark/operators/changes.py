@@ -14,7 +14,14 @@ from ensspark.functions.values import blank, iso_date, strip
 from ensspark.operators.numbering import last_id_of, next_ids, number_all
 from ensspark.operators.tracker import checklist_codes, first_arrivals
 
+# Messages that results carry.
 DUPLICATE_VESSEL = "Vessel with this name already exists."
+VESSEL_DELETED = "Vessel deleted."
+NO_VESSEL = "Vessel not found."
+NO_VOYAGE = "Original voyage not found."
+NO_ENTRIES = "Original voyage has no entries to clone."
+BAD_DATE = "Invalid date format."
+CLONED = "Voyage cloned successfully."
 
 
 def latest(changes: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
@@ -51,7 +58,7 @@ def delete_vessels(vessels: DataFrame, names: DataFrame) -> tuple[DataFrame, Dat
     result = wanted.join(known, "name", "left").select(
         "name",
         F.coalesce("found", F.lit(False)).alias("found"),
-        F.when(F.col("found"), "Vessel deleted.").otherwise("Vessel not found.").alias("message"),
+        F.when(F.col("found"), VESSEL_DELETED).otherwise(NO_VESSEL).alias("message"),
     )
     return kept, result
 
@@ -223,12 +230,12 @@ def check_clones(voyages: DataFrame, entries: DataFrame, requests: DataFrame) ->
         .withColumn("start_date", day)
         .withColumn(
             "message",
-            F.when(F.col("vessel_id").isNull(), "Original voyage not found.")
-            .when(F.col("first_arrival").isNull(), "Original voyage has no entries to clone.")
-            .when(F.col("start_date").isNull(), "Invalid date format.")
-            .otherwise("Voyage cloned successfully."),
+            F.when(F.col("vessel_id").isNull(), NO_VOYAGE)
+            .when(F.col("first_arrival").isNull(), NO_ENTRIES)
+            .when(F.col("start_date").isNull(), BAD_DATE)
+            .otherwise(CLONED),
         )
-        .withColumn("ok", F.col("message") == "Voyage cloned successfully.")
+        .withColumn("ok", F.col("message") == CLONED)
     )
 
 

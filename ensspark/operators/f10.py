@@ -23,12 +23,13 @@ from ensspark.operators.numbering import number_rows
 from ensspark.operators.routing import repair_routes, with_route
 from ensspark.operators.skew import splittable
 
+# Fixed value: the reason of a refused document.
 HS_FAILED = "Failed HS Code Check"
 
 
 @dataclass(frozen=True)
 class Company:
-    """The carrier that files, and the addresses of the filing service."""
+    """The carrier that files, and the addresses of the filing service; the defaults are invented."""
 
     name: str = "EXAMPLE CARRIER"
     tax_id: str = "XI000000000000"
@@ -39,8 +40,8 @@ class Company:
     number: str = "1"
     email: str = "filing@example.com"
     sender_id: str = "000000000"
-    recipient_id: str = "EU_ICS2"
-    action: str = "urn:myvan:ICS2_EDI"
+    recipient_id: str = "RECIPIENT"
+    action: str = "urn:example:filing"
     test_indicator: str = "P"
     correlation_id: str = "00000000-0000-0000-0000-000000000000"
 

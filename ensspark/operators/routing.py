@@ -13,6 +13,7 @@ from ensspark.functions.text import strip
 from ensspark.functions.values import country, literal_map, position, same_text, slice_between
 from ensspark.schemas import GB_PORT, GB_PORT_ALIAS, PORT_OFFICES
 
+# Element paths and reasons that the audit carries.
 ITINERARY_PATH = "Itinerary Section"
 OFFICES_PATH = "CustOfficeOfSubsequentEntry Section"
 ITINERARY_REASON = "Rebuilt Itinerary with 2-letter country codes based on vessel route."

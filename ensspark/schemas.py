@@ -195,6 +195,7 @@ IMO_FLAGS = {
 }
 
 # Routes in order of priority: the first one that lists a vessel is used.
+# Vessels and ports of each route, ports and codes of the checklists, folders and offices.
 ROUTE_VESSELS = {
     "WCUK": ["9242558", "9242560", "9246530", "9246554", "9354428"],
     "WM": ["9212010", "9212034", "9429209", "1016575", "1016563"],
@@ -202,18 +203,18 @@ ROUTE_VESSELS = {
 }
 
 ROUTE_PORTS = {
-    "WCUK": "CYLMS TRALI ILHFA ILASH TRISK EGALY ITSAL ESCAS PTLEI GBLIV IEDUB BEANR".split(),
-    "WM": "CYLMS ILASH TRISK ILHFA EGALY TRALI ITSAL FRMRS ESBCN MACAS ESCAS ITGOA".split(),
-    "ADR": "FRMRS ESBCN ITGOA EGALY ILASH ILHFA CYLMS ITRAV ITVCE".split(),
+    "WCUK": ["CYLMS", "TRALI", "ILHFA", "ILASH", "TRISK", "EGALY", "ITSAL", "ESCAS", "PTLEI", "GBLIV", "IEDUB", "BEANR"],
+    "WM": ["CYLMS", "ILASH", "TRISK", "ILHFA", "EGALY", "TRALI", "ITSAL", "FRMRS", "ESBCN", "MACAS", "ESCAS", "ITGOA"],
+    "ADR": ["FRMRS", "ESBCN", "ITGOA", "EGALY", "ILASH", "ILHFA", "CYLMS", "ITRAV", "ITVCE"],
 }
 
 CHECKLIST_SERVICE = "West Coast UK"
 CHECKLIST_CODES = {
-    "GBLIV": "CYLMS ILHFA ILASH TRISK EGALY ITSAL ESCAS PTLEI".split(),
-    "IEDUB": "CYLMS ILHFA ILASH TRISK EGALY ITSAL ESCAS PTLEI GBLIV".split(),
+    "GBLIV": ["CYLMS", "ILHFA", "ILASH", "TRISK", "EGALY", "ITSAL", "ESCAS", "PTLEI"],
+    "IEDUB": ["CYLMS", "ILHFA", "ILASH", "TRISK", "EGALY", "ITSAL", "ESCAS", "PTLEI", "GBLIV"],
 }
 
-GB_FOLDERS = "CYLMS EGALY ILASH ILHFA ITSAL TRISK ESCAS PTLEI".split()
+GB_FOLDERS = ["CYLMS", "EGALY", "ILASH", "ILHFA", "ITSAL", "TRISK", "ESCAS", "PTLEI"]
 GB_PORT = "GBLIV"
 GB_PORT_ALIAS = "GBBEL"
 GB_OFFICE = "GB000080"
