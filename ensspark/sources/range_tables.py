@@ -34,9 +34,10 @@ class Version:
     notes: dict = field(default_factory=dict)
 
 
-def range_of(key: Column, width: int) -> Column:
-    """Number of the range of an id, negative ones included."""
-    return F.floor(key / F.lit(width)) if width == 1 else ((key - F.pmod(key, F.lit(width))) / F.lit(width)).cast("long")
+def range_of(key: str, width: int) -> Column:
+    """Number of the range of an id, negative ones included; exact for every 64-bit integer."""
+    quotient, rest = F.expr(f"CAST(`{key}` AS BIGINT) div {width}L"), F.col(key) % F.lit(width)
+    return F.when(rest < 0, quotient - 1).otherwise(quotient)
 
 
 def latest(path: str) -> int | None:
@@ -72,7 +73,7 @@ def _write(rows: DataFrame, path: str, key: str, width: int) -> dict[int, list[s
     from pyarrow import fs
 
     target = f"data/{uuid.uuid4().hex}"
-    placed = rows.withColumn("_range", range_of(F.col(key), width))
+    placed = rows.withColumn("_range", range_of(key, width))
     # dealt by sampled ranges of the key: a range with a third of the rows becomes several files
     placed.repartitionByRange("_range", key).sortWithinPartitions("_range", key).write.partitionBy("_range").parquet(f"{path}/{target}")
     system, base = filesystem(f"{path}/{target}")
@@ -114,7 +115,7 @@ def rewrite(
     ``keys`` has the table's key column. ``change`` keeps the columns and leaves keys in their range.
     """
     held = version(path)
-    asked = keys.select(range_of(F.col(held.key), held.width).alias("_range")).filter("_range IS NOT NULL").distinct()
+    asked = keys.select(range_of(held.key, held.width).alias("_range")).filter("_range IS NOT NULL").distinct()
     touched = sorted({r["_range"] for r in asked.collect()} & {*held.folders})  # at most one row per range
     folders = {r: own for r, own in held.folders.items() if r not in touched}
     if touched:

@@ -60,6 +60,9 @@ def test_only_touched_ranges_are_written(spark, entries, tmp_path):
 
 
 def test_sparse_negative_and_missing_keys(spark, tmp_path):
+    exact = spark.createDataFrame([(2**62 + 1,), (-(2**63),), (2**63 - 1,), (-1,), (0,), (None,)], "id long")
+    for width in (1, 7, 2**40):
+        assert [r.n for r in exact.select(range_tables.range_of("id", width).alias("n")).collect()] == [x and x // width for x in (2**62 + 1, -(2**63), 2**63 - 1, -1, 0, None)]
     rows = spark.createDataFrame([(-(2**40), "a"), (-1, "b"), (0, "c"), (2**40, "d")], "id long, v string")
     range_tables.create(rows, str(tmp_path / "t"), ranges=4)
     assert sorted(map(tuple, range_tables.read(spark, str(tmp_path / "t")).collect())) == sorted(map(tuple, rows.collect()))
