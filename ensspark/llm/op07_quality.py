@@ -1,9 +1,10 @@
 """Quality rules as a short-circuit cascade, in built-in functions only.
 
-Every rule is a condition over the text that rejects it. On a bounded sample each rule's cost (seconds) and
-selectivity (rejected share) are measured; rules then run in the order of rejections per cost, as one
-conditional expression, so a text that an early, cheap rule rejects never reaches the dear ones. The order
-decides about speed only: a text is kept if no rule rejects it.
+Every rule is a condition over measures of the text that rejects it. On a bounded sample, chosen by the texts' hash, each
+rule's cost (seconds) and selectivity (rejected share) are measured; rules then run in the order of rejections per
+cost. Each step computes what its rule needs and no earlier one did, only where no earlier rule has rejected the text, so
+a text that an early, cheap rule rejects never reaches the dear ones. The order decides about speed only: a text is
+kept if no rule rejects it.
 """
 
 from __future__ import annotations
@@ -21,8 +22,9 @@ from ensspark.llm.common import landed, prepared, table
 MIN_WORDS = 50
 SYMBOLS = "[#*$%&|<>]+"
 BLANK = r"[ \t-\r]+"
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
-SAMPLE_ROWS = 500  # rows on which cost and selectivity are estimated; they decide about the order alone
+SAMPLE_ROWS = 1000  # rows, about, on which cost and selectivity are estimated; they decide about the order alone
 
 
 def words(text: Column) -> Column:
@@ -86,70 +88,65 @@ def _covered(spots: Column) -> Column:
     return F.size(F.array_distinct(F.flatten(F.transform(F.array_distinct(places), lambda i: F.array(i, i + 1, i + 2)))))
 
 
-class Measures:
-    """What rules judge by, each an expression over the text (never null), evaluated only where a rule asks for it."""
-
-    def __init__(self, body: Column):
-        self.words = words(body)
-        self.lines = lines(body)
-        self.n_words = F.size(self.words)
-        self.word_chars = F.length(F.array_join(self.words, ""))
-        self.n_symbols = F.length(body) - length_without(body, SYMBOLS)
-        self.n_letters = length_without(body, r"[^\p{L}]+")
-        self.n_capitals = F.length(body) - length_without(body, r"\p{Lu}+")
-        self.n_lines = F.size(self.lines)
-        self.n_dup_lines = repeats(self.lines)
-        self.n_repeat_words = let(self.words, lambda w: let(windows(w), lambda g: let(sorted_places(g), lambda p: repeat_words(g, p))))
-
-
-class Known:
-    """The same measures where they are columns already."""
-
-    def __getattr__(self, name: str) -> Column:
-        return F.col(name)
-
-
-def measured(docs: DataFrame, keep: Sequence[Column], text: str = "text") -> DataFrame:
-    """The columns to keep and all measures. Each step is a projection, so that arrays are built once for each row."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.struct(*keep).alias("kept"), body.alias("body"))
-    rows = rows.select("*", words(F.col("body")).alias("words"), lines(F.col("body")).alias("lines"))
-    rows = rows.select("*", windows(F.col("words")).alias("grams"))
-    rows = rows.select("*", sorted_places(F.col("grams")).alias("places"))
-    of = Measures(F.col("body"))
-    return rows.select(
-        "kept.*",
-        F.size("words").alias("n_words"),
-        F.length(F.array_join("words", "")).alias("word_chars"),
-        *[getattr(of, name).alias(name) for name in ("n_symbols", "n_letters", "n_capitals")],
-        F.size("lines").alias("n_lines"),
-        repeats(F.col("lines")).alias("n_dup_lines"),
-        repeat_words(F.col("grams"), F.col("places")).alias("n_repeat_words"),
-    )
+# Each measure: what it is computed from besides the text (body), and how.
+MEASURES: dict[str, tuple[tuple[str, ...], Callable[[], Column]]] = {
+    "words": ((), lambda: words(F.col("body"))),
+    "lines": ((), lambda: lines(F.col("body"))),
+    "grams": (("words",), lambda: windows(F.col("words"))),
+    "places": (("grams",), lambda: sorted_places(F.col("grams"))),
+    "n_words": (("words",), lambda: F.size("words")),
+    "word_chars": (("words",), lambda: F.length(F.array_join("words", ""))),
+    "n_symbols": ((), lambda: F.length("body") - length_without(F.col("body"), SYMBOLS)),
+    "n_letters": ((), lambda: length_without(F.col("body"), r"[^\p{L}]+")),
+    "n_capitals": ((), lambda: F.length("body") - length_without(F.col("body"), r"\p{Lu}+")),
+    "n_lines": (("lines",), lambda: F.size("lines")),
+    "n_dup_lines": (("lines",), lambda: repeats(F.col("lines"))),
+    "n_repeat_words": (("grams", "places"), lambda: repeat_words(F.col("grams"), F.col("places"))),
+}
+
+
+def with_measure(rows: DataFrame, name: str) -> DataFrame:
+    """Add a measure and what it is computed from, each in a step of its own, where no rule has rejected the text yet."""
+    if name in rows.columns:
+        return rows
+    sources, formula = MEASURES[name]
+    for source in sources:
+        rows = with_measure(rows, source)
+    return rows.withColumn(name, F.when(F.col("rule").isNull(), formula()))
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A name and the condition, over the measures, that rejects a text."""
+    """A name, the measures that the rule needs, and the condition over them that rejects a text."""
 
     name: str
-    rejects: Callable[[Measures], Column]
+    needs: tuple[str, ...]
+    rejects: Callable[[], Column]
 
 
 # The contract's base, and the method's own rules; prose passes these by a wide margin.
 BASE_RULES = [
-    Rule("few words", lambda m: m.n_words < MIN_WORDS),
-    Rule("repeated words", lambda m: 100 * m.n_repeat_words > 50 * m.n_words),
+    Rule("few words", ("n_words",), lambda: F.col("n_words") < MIN_WORDS),
+    Rule("repeated words", ("n_repeat_words", "n_words"), lambda: 100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
 ]
 RULES = [
-    Rule("symbols", lambda m: 10 * m.n_symbols > m.n_words),
-    Rule("shouting", lambda m: 2 * m.n_capitals > m.n_letters),
-    Rule("no letters", lambda m: 2 * m.n_letters < m.word_chars),
-    Rule("long words", lambda m: m.word_chars > 25 * m.n_words),
-    Rule("repeated lines", lambda m: 2 * m.n_dup_lines > m.n_lines),
+    Rule("symbols", ("n_symbols", "n_words"), lambda: 10 * F.col("n_symbols") > F.col("n_words")),
+    Rule("shouting", ("n_capitals", "n_letters"), lambda: 2 * F.col("n_capitals") > F.col("n_letters")),
+    Rule("no letters", ("n_letters", "word_chars"), lambda: 2 * F.col("n_letters") < F.col("word_chars")),
+    Rule("long words", ("word_chars", "n_words"), lambda: F.col("word_chars") > 25 * F.col("n_words")),
+    Rule("repeated lines", ("n_dup_lines", "n_lines"), lambda: 2 * F.col("n_dup_lines") > F.col("n_lines")),
 ]
 
 
+def cascade(rows: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """Fill ``rule``, where it is null, with the first rule that rejects the text ``body``; null where none does."""
+    for rule in rules:
+        for name in rule.needs:
+            rows = with_measure(rows, name)
+        rows = rows.withColumn("rule", F.when(F.col("rule").isNotNull(), F.col("rule")).when(rule.rejects(), rule.name))
+    return rows
+
+
 @dataclass(frozen=True)
 class Estimate:
     rule: Rule
@@ -161,37 +158,36 @@ class Estimate:
         return self.rejected / max(self.cost, 1e-4)
 
 
+def _bodies(docs: DataFrame, text: str, *keep: Column) -> DataFrame:
+    return docs.select(F.struct(*keep).alias("kept"), F.coalesce(F.col(text), F.lit("")).alias("body"), F.lit(None).cast("string").alias("rule"))
+
+
 def estimate(docs: DataFrame, rules: Sequence[Rule], text: str = "text", rows: int = SAMPLE_ROWS) -> list[Estimate]:
     """Cost and selectivity of every rule on a bounded sample, best rejection per cost first.
 
-    The second of two runs counts, less what reading the sample costs, so compiling does not. An empty sample
-    leaves the rules in their order.
+    The faster one of two runs after a first one counts, less what reading the sample costs, so compiling does not.
+    An empty sample leaves the rules in their order.
     """
-    sample = landed(docs.select(F.coalesce(F.col(text), F.lit("")).alias("body")).limit(rows), "quality-sample")
+    bodies = _bodies(docs, text, F.lit(0).alias("none")).drop("kept")
+    share = max(1, docs.count() // rows)
+    sample = landed(bodies.where(F.pmod(F.xxhash64("body"), F.lit(share)) == 0).limit(4 * rows), "quality-sample")
 
-    def timed(condition: Column) -> tuple[float, int, int]:
-        for _ in range(2):
+    def timed(judged: DataFrame) -> tuple[float, int, int]:
+        took = []
+        for _ in range(3):
             began = time.perf_counter()
-            n, rejected = sample.agg(F.count("*"), F.count_if(condition)).first()
-            took = time.perf_counter() - began
-        return took, n, rejected
+            n, rejected = judged.agg(F.count("*"), F.count_if(F.col("rule").isNotNull())).first()
+            took.append(time.perf_counter() - began)
+        return min(took[1:]), n, rejected
 
-    base, n, _ = timed(F.length("body") < 0)
+    base, n, _ = timed(sample.withColumn("rule", F.when(F.length("body") < 0, "none")))
     found = []
     for rule in rules:
-        took, _, rejected = timed(rule.rejects(Measures(F.col("body"))))
+        took, _, rejected = timed(cascade(sample, [rule]))
         found.append(Estimate(rule, max(took - base, 0.001), rejected / max(n, 1)))
     return sorted(found, key=lambda e: -e.gain)
 
 
-def rejection(measures: Measures, rules: Sequence[Rule]) -> Column:
-    """The name of the first rule that rejects, null for none; later rules are not evaluated."""
-    found = F.lit(None).cast("string")
-    for rule in reversed(rules):
-        found = F.when(rule.rejects(measures), rule.name).otherwise(found)
-    return found
-
-
 def kept_documents(docs: DataFrame, rules: Sequence[Rule] = (*BASE_RULES, *RULES), text: str = "text") -> DataFrame:
     """The rows that no rule rejects, with all their columns.
 
@@ -199,21 +195,31 @@ def kept_documents(docs: DataFrame, rules: Sequence[Rule] = (*BASE_RULES, *RULES
     table stays empty; no column is added, so none can clash.
     """
     order = [e.rule for e in estimate(docs, rules, text)]
-    return docs.where(rejection(Measures(F.coalesce(F.col(text), F.lit(""))), order).isNull())
+    rows = cascade(_bodies(docs, text, *[F.col(c) for c in docs.columns]), order)
+    # a filter is not moved below a number of the row; else the optimizer would copy each step into the next one's condition
+    numbered = rows.withColumn("row", F.monotonically_increasing_id())
+    return numbered.where(F.col("rule").isNull() & (F.col("row") >= 0)).select("kept.*")
 
 
 def judged(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
-    """One row per document: the key, the measures, whether the base fails, whether it is kept."""
+    """One row per document: the key, the base measures, whether the base fails, whether it is kept, the rule that rejects.
+
+    The base measures are computed for every text; those of the other rules only where the base and the rules before
+    leave the text.
+    """
     order = [e.rule for e in estimate(docs, rules, text)]
-    base = rejection(Known(), BASE_RULES).isNotNull()
-    rows = measured(docs, [F.col(key).alias("doc_id")], text)
-    counts = [F.col(c).cast("long").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-    return rows.select("doc_id", *counts, base.alias("base_failed"), (~base & rejection(Known(), order).isNull()).alias("kept"))
+    rows = _bodies(docs, text, F.col(key).alias("doc_id"))
+    for name in BASE:
+        rows = with_measure(rows, name)
+    rows = cascade(rows, BASE_RULES)
+    rows = cascade(rows.withColumn("base_failed", F.col("rule").isNotNull()), order)
+    counts = [F.col(c).cast("long").alias(c) for c in BASE]
+    return rows.select("kept.doc_id", *counts, "base_failed", F.col("rule").isNull().alias("kept"), F.col("rule").alias("rejected_by"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and judges every document."""
-    return judged(table(prepared(spark), sf_dir, "documents", "doc_id", "text"))
+    return judged(table(prepared(spark), sf_dir, "documents", "doc_id", "text")).drop("rejected_by")
 
 
 ORACLE = r"""

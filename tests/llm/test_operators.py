@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 from itertools import product
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ensspark.llm import (
@@ -301,6 +302,22 @@ def test_cascade(odd, none):
     assert op07_quality.kept_documents(none).count() == 0 and op07_quality.judged(none).count() == 0
 
 
+def test_rejected_texts_skip_later_measures(corpus):
+    """A text that the base or an earlier rule rejects has no value in the measures of later rules."""
+    prose = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(80))
+    rows = [(1, "few words"), (2, prose + " ###############"), (3, prose.upper()), (4, prose)]
+    docs = corpus.createDataFrame(rows, "doc_id long, text string")
+    rules = op07_quality.RULES[:2]  # symbols, then shouting
+    found = op07_quality.cascade(op07_quality._bodies(docs, "text", docs.doc_id), [*op07_quality.BASE_RULES, *rules])
+    got = {r.kept.doc_id: r for r in found.collect()}
+    assert [got[i].rule for i in (1, 2, 3, 4)] == ["few words", "symbols", "shouting", None]
+    assert got[1].n_repeat_words is None and got[1].n_symbols is None  # the base's own second rule is skipped too
+    assert got[2].n_symbols == 15 and got[2].n_capitals is None and got[2].n_letters is None
+    assert got[4].n_capitals == 0 and got[4].n_letters == len(prose) - 79
+    kinds = {r.doc_id: r.rejected_by for r in op07_quality.judged(docs).collect()}
+    assert kinds == {1: "few words", 2: "symbols", 3: "shouting", 4: None}
+
+
 def test_cheap_rejections_come_first(odd):
     found = op07_quality.estimate(odd, op07_quality.BASE_RULES)
     assert [e.gain for e in found] == sorted((e.gain for e in found), reverse=True)
@@ -375,6 +392,23 @@ def test_model_against_brute_force_and_base(corpus, odd, none):
     assert op10_mixing_lm.scored(none).count() == 0
 
 
+def test_model_does_not_depend_on_splits(corpus, monkeypatch):
+    """Other splits when the words are counted than when the texts are scored, as after executors are lost or gained."""
+    monkeypatch.setattr(op10_mixing_lm, "SLICE_BYTES", 20_000)
+    docs = corpus.read.parquet(f"{SF_DIR}/documents.parquet").select(F.concat(F.lit("d"), "doc_id").alias("doc_id"), "text")
+    assert op10_mixing_lm.sliced(docs, "doc_id", "text").select("slice").distinct().count() > 10
+    whole = sorted(map(str, op10_mixing_lm.scored(docs).collect()))
+    cogrouped = op10_mixing_lm.scored(docs)
+    kept = corpus.conf.get("spark.sql.files.maxPartitionBytes")
+    corpus.conf.set("spark.sql.files.maxPartitionBytes", "50k")
+    try:
+        assert sorted(map(str, cogrouped.collect())) == whole
+    finally:
+        corpus.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    unfiled = op10_mixing_lm.scored(corpus.createDataFrame(docs.collect(), docs.schema)).collect()
+    assert len(unfiled) == len(whole) and whole[0].startswith("Row(doc_id='d")
+
+
 # --- the pipeline ---
 
 
