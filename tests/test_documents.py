@@ -264,6 +264,27 @@ def test_f10_text_is_detected_and_cleaned(docs, spark):
     assert "<unNumber/>" in row.xml.replace(" ", "") or "<unNumber></unNumber>" in row.xml
 
 
+def test_declaration_files_are_small_and_read_back(docs, spark, tmp_path):
+    many = docs.crossJoin(spark.range(50).select("id")).coalesce(1)
+    sinks.write_declaration_files(many, str(tmp_path / "ships" / "CYLM"))
+    files = [p for p in (tmp_path / "ships" / "CYLM").iterdir() if p.name.startswith("part-")]
+    texts = source.read_documents(spark, str(tmp_path / "ships")).collect()
+    plain = sum(len(r.xml) for r in texts)
+    assert sum(p.stat().st_size for p in files) * 5 < plain
+    assert {r.file_name for r in texts} == {p.name.removesuffix(".gz") for p in files}
+    good, broken = source.split_corrupt(source.read_declarations(spark, str(tmp_path / "ships")))
+    reference = F.col(DECL)["LocalReferenceNumber"]
+    assert sorted(good.groupBy(reference).count().collect()) == sorted(many.groupBy(reference).count().collect())
+    assert good.count() == many.count() and broken.count() == 0
+
+
+def test_declaration_files_are_bounded(docs, spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "FILE_DOCUMENTS", 20)
+    sinks.write_declaration_files(docs.limit(1).crossJoin(spark.range(50).select("id")).coalesce(1), str(tmp_path / "out"))
+    texts = source.read_documents(spark, str(tmp_path / "out")).collect()
+    assert sorted(r.xml.count("<LocalReferenceNumber>") for r in texts) == [10, 20, 20]
+
+
 # --- sinks and streams --------------------------------------------------------------------------------
 
 
