@@ -8,7 +8,7 @@ Each bit is predicted by several predictors: how often the bit was set at this p
 the word before, after the two words before, after the word before that one (counts in hashed tables of a fixed
 size, summed over all training texts), and by what followed when the last two words were last met in this text.
 Their log odds are added with weights that a gate chooses by the bit's place and by whether there is such a match.
-Weights are learnt online while a text is read, block by block, from weights fitted to a bounded sample; a
+Weights are learnt online while a text is read, block by block, from weights fitted to all training texts; a
 last stage refines the probability adaptively, by its own recent errors. The code length gives bits per byte.
 
 Counts of words are exact. A slice of the input sends its distinct words with their counts, packed, to fragments
@@ -40,7 +40,8 @@ CHUNK = 1 << 14  # slots of a table that travel together
 STEP = 32  # words after which weights are learnt
 LANES = 256  # texts that are scored side by side
 RATE, REFINE_RATE, CELLS = 0.02, 0.03, 24
-SAMPLE_DOCS, SAMPLE_CHARS = 96, 20_000  # training texts (of at most so many characters) that the first weights are fitted to
+FIT_TOKENS = 20_000  # tokens that are fitted side by side
+RIDGE, FIT_STEP = 1.0, 1.0  # keep weights of gates that are rarely met, and bound the fit's step
 SLICE_BYTES = 8 << 20  # about so many input bytes make a slice
 END = np.uint64(0x51ED270B9F1C2A37)  # the end token's hash
 NONE = np.uint64(0x2545F4914F6CDD1D)  # stands for a missing word before the first
@@ -253,7 +254,7 @@ class Model:
         return self
 
     def inputs(self, h: np.ndarray, bounds: np.ndarray, code: np.ndarray, leave_out: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Predictors' log odds (words, bits, predictors), gates and bits. leave_out: without the texts' own counts."""
+        """Predictors' log odds (words, bits, predictors), gates and bits. leave_out: without each token's own count."""
         node, bit = nodes(code)
         x = np.empty((len(h), BITS, 2 + CONTEXTS), dtype=np.float32)
         x[:, :, 0] = self.order0[node]
@@ -261,9 +262,7 @@ class Model:
         for k, context in enumerate(contexts):
             at = slots(context, node)
             if leave_out:
-                n = np.bincount(at.ravel(), minlength=1 << TABLE_BITS)
-                ones = np.bincount(at[bit == 1], minlength=1 << TABLE_BITS)
-                x[:, :, k + 1] = log_odds(np.maximum(self.counts[k][0] - n.astype(float), 0.0), np.maximum(self.counts[k][1] - ones.astype(float), 0.0))[at]
+                x[:, :, k + 1] = log_odds(self.counts[k][0][at] - 1.0, self.counts[k][1][at] - bit)
             else:
                 x[:, :, k + 1] = self.tables[k][at]
         last = matches(h, bounds, contexts[1])
@@ -316,15 +315,26 @@ class Model:
     def code_of(self, h: np.ndarray, count: np.ndarray) -> np.ndarray:
         return np.where(count > 0, codes(h), UNKNOWN_CODE)
 
-    def fit(self, texts: list[str]) -> Model:
-        """First weights: those that the sample's texts end with, averaged, in two passes; own counts left out."""
-        if texts:
-            h, bounds = tokens(pa.array(texts, pa.string()))
-            x, gate, bit = self.inputs(h, bounds, codes(h), leave_out=True)
-            size = np.diff(bounds)[:, None, None]
-            for _ in range(2):
-                _, last = self.read(x, gate, bit, bounds)
-                self.weights = ((last * size).sum(axis=0) / size.sum()).astype(np.float32)
+    def slopes(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Gradient and curvature of the texts' code length by gate, at the weights so far."""
+        many = 2 + CONTEXTS
+        slope, curve = np.zeros((2 * BITS, many)), np.zeros((2 * BITS, many, many))
+        h, bounds = tokens(texts)
+        for a, b in _groups(bounds, FIT_TOKENS):
+            part = slice(int(bounds[a]), int(bounds[b]))
+            x, gate, bit = self.inputs(h[part], bounds[a : b + 1] - bounds[a], codes(h[part]), leave_out=True)
+            for g in range(2 * BITS):
+                at = gate[:, g % BITS] == g  # a gate belongs to one place of the code
+                own = x[at, g % BITS].astype(np.float64)
+                p = squash(np.clip(own @ self.weights[g], -12, 12))
+                slope[g] += own.T @ (bit[at, g % BITS] - p)
+                curve[g] += (own * (p * (1 - p))[:, None]).T @ own
+        return slope, curve
+
+    def fit(self, slope: np.ndarray, curve: np.ndarray) -> Model:
+        """First weights: one Newton step from the plain ones, by the slopes summed over all training texts."""
+        step = np.linalg.solve(curve + RIDGE * np.eye(curve.shape[1]), slope[..., None])[..., 0]
+        self.weights = (self.weights + np.clip(step, -FIT_STEP, FIT_STEP)).astype(np.float32)
         return self
 
     def score(self, h: np.ndarray, bounds: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -333,16 +343,41 @@ class Model:
         code = self.code_of(h, count)
         within = np.add.reduceat(base - self.code_share[code], bounds[:-1]) if len(bounds) > 1 else np.zeros(0)
         coded = np.zeros(len(bounds) - 1)
-        a = 0
-        while a < len(bounds) - 1:  # some texts at a time, for memory
-            b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + 100_000, side="right")) - 1)
+        for a, b in _groups(bounds, 100_000):
             part = slice(int(bounds[a]), int(bounds[b]))
             own = bounds[a : b + 1] - bounds[a]
             coded[a:b] = self.read(*self.inputs(h[part], own, code[part]), own)[0]
-            a = b
         return np.add.reduceat(base, bounds[:-1]) if len(bounds) > 1 else within, within + coded
 
 
+def _groups(bounds: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about so many tokens, a larger text alone: some at a time, for memory."""
+    a = 0
+    while a < len(bounds) - 1:
+        b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + size, side="right")) - 1)
+        yield a, b
+        a = b
+
+
+def _fitted(rows: DataFrame, model: Model) -> Model:
+    """The model with first weights from all training texts; a task sends sums of a fixed size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slope, curve = 0.0, 0.0
+        for batch in batches:
+            own = model.slopes(batch["body"])
+            slope, curve = slope + own[0], curve + own[1]
+        if np.ndim(slope):
+            yield pa.RecordBatch.from_arrays([pa.array([slope.tobytes()], pa.binary()), pa.array([curve.tobytes()], pa.binary())], names=["a", "b"])
+
+    many = 2 + CONTEXTS
+    slope, curve = np.zeros((2 * BITS, many)), np.zeros((2 * BITS, many, many))
+    for row in rows.where("NOT held").select("body").mapInArrow(run, "a binary, b binary").collect():
+        slope += np.frombuffer(row.a).reshape(slope.shape)
+        curve += np.frombuffer(row.b).reshape(curve.shape)
+    return model.fit(slope, curve)
+
+
 SCORES = "held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
 
 
@@ -393,11 +428,7 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
         sums += np.frombuffer(row.a, np.uint64)
         distinct += np.frombuffer(row.b, np.uint64)
     model = Model(int(sums.sum()), int(distinct.sum()), sums, distinct, hashed_tables(found.where("kind = 1")))
-    body = F.coalesce(F.col(text), F.lit(""))
-    sample = docs.where(~held_out(F.col(key)) & (F.length(body) <= SAMPLE_CHARS)).select(F.xxhash64(F.col(key), body).alias("h"), body.alias("body"))
-    share = max(1, docs.count() // (20 * SAMPLE_DOCS))  # about 20 times the sample is sorted, whatever the table's size
-    sample = sample.where(F.pmod("h", F.lit(share)) == 0)
-    model.fit([r.body for r in sample.orderBy("h", "body").limit(SAMPLE_DOCS).collect()])
+    _fitted(rows, model)
     own = answers.where("kind = 0").select("slice", "a", "b")
     return rows.groupBy("slice").cogroup(own.groupBy("slice")).applyInArrow(_scorer(model.compact()), f"doc_id {rows.schema['id'].dataType.simpleString()}, {SCORES}")
 

@@ -409,6 +409,17 @@ def test_model_does_not_depend_on_splits(corpus, monkeypatch):
     assert len(unfiled) == len(whole) and whole[0].startswith("Row(doc_id='d")
 
 
+def test_first_weights_come_from_every_training_text(corpus, monkeypatch):
+    seen, scorer = [], op10_mixing_lm._scorer
+    monkeypatch.setattr(op10_mixing_lm, "_scorer", lambda model: seen.append(model.weights) or scorer(model))
+    ids = [i for i in range(300) if zlib.crc32(str(i).encode()) % 7 != 2][:200]
+    texts = [(i, " ".join(f"w{(i * 31 + j * j) % 50}" for j in range(120))) for i in ids]
+    for rows in (texts, [*texts[:-1], (ids[-1], "many other words " * 2000)]):
+        op10_mixing_lm.scored(corpus.createDataFrame(rows, "doc_id long, text string")).count()
+    assert all(abs(w[:, 0] - 0.5).max() > 0.01 for w in seen)
+    assert abs(seen[0] - seen[1]).max() > 0.001  # one long text among many counts
+
+
 # --- the pipeline ---
 
 
