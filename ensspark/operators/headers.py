@@ -18,6 +18,10 @@ from ensspark.operators.tariff import default_missing_items, document_valid
 
 DECL = "EntrySummaryDeclaration"
 
+# An XML declaration, and an element with nothing but white space in a text without comments and the like.
+XML_1_0 = r"""^<\?xml version=["']1\.0["'][^?<>]*\?>"""
+BLANK_LEAF = r"""<[^\s/>!?<]++(?:\s+[^\s=/><]+\s*=\s*(?:"[^"]*"|'[^']*'))*\s*(?:/>|>[ \t\r\n]*</)"""
+
 
 def tax_id(port: Column, gb_tin: str, other_tin: str) -> Column:
     """Tax id that goes with a port of declaration."""
@@ -214,10 +218,14 @@ def empty_tag() -> Column:
 def empty_tag_in_text(xml: Column, corrupt: Column) -> Column:
     """The same over raw text, unknown tags included. Null for text that is not well-formed.
 
-    XPath fails a job on malformed input, so the corrupt marker of the typed parse guards it.
+    XPath fails a job on malformed input, so the corrupt marker of the typed parse guards it. In a text of tags and
+    plain characters alone, a blank leaf is a start tag followed by white space and an end tag, so no tree is built;
+    texts with comments, CDATA, instructions or character references go through XPath.
     """
+    body = F.regexp_replace(xml, XML_1_0, "")
+    other = (xml == "") | F.contains(body, F.lit("<!")) | F.contains(body, F.lit("<?")) | F.contains(body, F.lit("&#"))
     blank_leaf = F.xpath_boolean(xml, F.lit("//*[not(*) and normalize-space(.)='']"))
-    return F.when(corrupt.isNull(), blank_leaf)
+    return F.when(corrupt.isNull(), F.when(other, blank_leaf).otherwise(body.rlike(BLANK_LEAF)))
 
 
 def queue_counts(routed: DataFrame) -> DataFrame:

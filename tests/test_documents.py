@@ -98,6 +98,23 @@ def test_text_read_kind_and_empty_tags(spark, folder):
     assert found["d.xml"] is True and found["c.xml"] is False and found["broken.xml"] is None
 
 
+def test_empty_tags_of_odd_texts(spark):
+    inner = [
+        "<b>x</b>", "<b> \t\n</b>", "<b/>", "<b />", "<b></b >", "<b c='>'/>", "<b c='&gt;/>'>x</b>", '<b c=">  ">x</b>', "<b><c>x</c> </b>",
+        "<b><!-- x --></b>", "<b><![CDATA[ ]]></b>", "<b><![CDATA[</b>]]></b>", "<b>&#32;</b>", "<b>&#120;</b>", "<b><?p q?></b>", "x <b>\u00a0</b>",
+        "<é>x</é>", "<é></é>", "<b c = 'd'\n e='f' ></b>", "<b>&amp;</b>", "",
+    ]
+    heads = ["", sinks.DECLARATION, "<?xml version='1.1'?>"]
+    rows = [(f"{head}<a>{text}</a>",) for text in inner for head in heads]
+    frame = spark.createDataFrame([*rows, (None,), ("",)], "xml string")
+    fast = headers.empty_tag_in_text(F.col("xml"), F.lit(None).cast("string")).alias("fast")
+    tree = F.xpath_boolean("xml", F.lit("//*[not(*) and normalize-space(.)='']")).alias("tree")
+    got = frame.select("xml", fast, tree).collect()
+    assert [r.xml for r in got if r.fast != r.tree] == []
+    plan = frame.select(fast)._jdf.queryExecution().executedPlan().toString()
+    assert "RLIKE" in plan
+
+
 def test_vessel_code_lookup(spark, folder):
     codes = spark.createDataFrame([("adga", "9242558")], "code string, imo string")
     rows = source.read_documents(spark, str(folder))
