@@ -41,6 +41,7 @@ STEP = 32  # words after which weights are learnt
 LANES = 256  # texts that are scored side by side
 RATE, REFINE_RATE, CELLS = 0.02, 0.03, 24
 FIT_TOKENS = 20_000  # tokens that are fitted side by side
+GATHER_TOKENS = 200_000  # tokens that are counted side by side
 RIDGE, FIT_STEP = 1.0, 1.0  # keep weights of gates that are rarely met, and bound the fit's step
 SLICE_BYTES = 8 << 20  # about so many input bytes make a slice
 END = np.uint64(0x51ED270B9F1C2A37)  # the end token's hash
@@ -67,10 +68,10 @@ def codes(h: np.ndarray) -> np.ndarray:
     return (mix(h ^ np.uint64(ODD2)) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def nodes(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each word and bit: the place in the code's tree, and the bit."""
-    place = np.arange(BITS)
-    return (1 << place) | (code[:, None] >> (BITS - place)), (code[:, None] >> (BITS - 1 - place)) & 1
+# For each code and bit: the place in the code's tree, the bit, and the place's part of a slot's hash.
+NODES = (1 << np.arange(BITS)) | (np.arange(1 << BITS)[:, None] >> (BITS - np.arange(BITS)))
+CODE_BITS = (np.arange(1 << BITS)[:, None] >> (BITS - 1 - np.arange(BITS))) & 1
+NODE_HASHES = NODES.astype(np.uint64) * np.uint64(ODD) * np.uint64(ODD2)
 
 
 def context_hashes(h: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
@@ -84,9 +85,9 @@ def context_hashes(h: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
     return [mix(one * np.uint64(3)), mix(one * np.uint64(ODD) + two * np.uint64(ODD2)), mix(two * np.uint64(ODD) + np.uint64(5))]
 
 
-def slots(context: np.ndarray, node: np.ndarray) -> np.ndarray:
-    """Slots of the hashed table for each word and place of the code."""
-    return ((context[:, None] + node.astype(np.uint64) * np.uint64(ODD)) * np.uint64(ODD2) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+def slots(context: np.ndarray, node_hash: np.ndarray) -> np.ndarray:
+    """Slots of the hashed table for each word and place of the code, whose hashes are rows of ``NODE_HASHES``."""
+    return ((context * np.uint64(ODD2))[:, None] + node_hash >> np.uint64(64 - TABLE_BITS)).view(np.int64)
 
 
 def matches(h: np.ndarray, bounds: np.ndarray, context: np.ndarray) -> np.ndarray:
@@ -129,18 +130,20 @@ def gathered(rows: DataFrame, fragments: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: dict[int, list] = {}
-        tables = np.zeros((CONTEXTS, 2, 1 << TABLE_BITS), dtype=np.uint32)
+        tables = np.zeros((CONTEXTS, 1 << TABLE_BITS, 2), dtype=np.uint32)
         task = None
         for batch in batches:
             h, bounds = tokens(batch["body"])
             train = ~batch["held"].to_numpy(zero_copy_only=False)
             size = np.diff(bounds)
             learn = np.repeat(train, size)
-            node, bit = nodes(codes(h))
+            code = codes(h)[learn]
             for k, context in enumerate(context_hashes(h, bounds)):
-                at = slots(context[learn], node[learn]).ravel()
-                tables[k, 0] += np.bincount(at, minlength=1 << TABLE_BITS).astype(np.uint32)
-                tables[k, 1] += np.bincount(at[bit[learn].ravel() == 1], minlength=1 << TABLE_BITS).astype(np.uint32)
+                own = context[learn]
+                for a in range(0, len(code), GATHER_TOKENS):  # some at a time, for memory
+                    part = code[a : a + GATHER_TOKENS]
+                    at = 2 * slots(own[a : a + GATHER_TOKENS], NODE_HASHES[part]) + CODE_BITS[part]
+                    tables[k] += np.bincount(at.ravel(), minlength=2 << TABLE_BITS).astype(np.uint32).reshape(-1, 2)
             where = batch["slice"].to_numpy()
             for s in np.unique(where):
                 task = int(s) if task is None else task
@@ -157,7 +160,8 @@ def gathered(rows: DataFrame, fragments: int) -> DataFrame:
             yield _batch([(0, s, int(at[a]), known[a:b].tobytes(), count[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
         if task is not None:
             n = (1 << TABLE_BITS) // CHUNK
-            chunks = tables.reshape(CONTEXTS, 2, n, CHUNK)
+            tables[..., 0] += tables[..., 1]  # a slot's count, and how often the bit was set
+            chunks = tables.swapaxes(1, 2).reshape(CONTEXTS, 2, n, CHUNK)
             yield _batch([(1, task, k * n + c, chunks[k, 0, c].astype(np.uint64).tobytes(), chunks[k, 1, c].astype(np.uint64).tobytes()) for k in range(CONTEXTS) for c in range(n)])
 
     return rows.select("held", "body", "slice").mapInArrow(run, GATHERED)
@@ -227,6 +231,12 @@ def log_odds(n: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return (np.log((ones + 0.4) / (n - ones + 0.4)) * (n / (n + 0.6))).astype(np.float32)
 
 
+def _left_out(n: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """Log odds of each slot, once without a clear and once without a set bit; meant for slots that have met it."""
+    clear, met = np.maximum(n - 1, 0), np.maximum(ones - 1, 0)
+    return np.stack([log_odds(np.maximum(clear, ones), ones), log_odds(np.maximum(clear, met), met)], axis=-1).ravel()
+
+
 class Model:
     """Totals, the code's tree, the hashed tables and the first weights."""
 
@@ -243,33 +253,30 @@ class Model:
         ones = tree[1::2][1:]
         self.order0 = np.zeros(1 << BITS, dtype=np.float32)
         self.order0[1:] = np.log((ones[: (1 << BITS) - 1] + 1e-6) / (tree[2::2][: (1 << BITS) - 1] + 1e-6))
-        self.counts = tables
+        self.left_out = [_left_out(t[0].astype(np.float64), t[1].astype(np.float64)) for t in tables]
         self.tables = [log_odds(t[0].astype(np.float64), t[1].astype(np.float64)) for t in tables]
         self.weights = np.zeros((2 * BITS, 2 + CONTEXTS), dtype=np.float32)
         self.weights[:, 0], self.weights[:, 1:-1], self.weights[:, -1] = 0.5, 0.3, 1.0
 
     def compact(self) -> Model:
-        """Without the counts, which only fitting needs."""
-        self.counts = None
+        """Without what only fitting needs."""
+        self.left_out = None
         return self
 
     def inputs(self, h: np.ndarray, bounds: np.ndarray, code: np.ndarray, leave_out: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Predictors' log odds (words, bits, predictors), gates and bits. leave_out: without each token's own count."""
-        node, bit = nodes(code)
+        node, bit, node_hash = NODES[code], CODE_BITS[code], NODE_HASHES[code]
         x = np.empty((len(h), BITS, 2 + CONTEXTS), dtype=np.float32)
-        x[:, :, 0] = self.order0[node]
+        x[:, :, 0] = self.order0[NODES][code]
         contexts = context_hashes(h, bounds)
         for k, context in enumerate(contexts):
-            at = slots(context, node)
-            if leave_out:
-                x[:, :, k + 1] = log_odds(self.counts[k][0][at] - 1.0, self.counts[k][1][at] - bit)
-            else:
-                x[:, :, k + 1] = self.tables[k][at]
+            at = slots(context, node_hash)
+            x[:, :, k + 1] = self.left_out[k][2 * at + bit] if leave_out else self.tables[k][at]
         last = matches(h, bounds, contexts[1])
         met = last >= 0
         guess = code[np.maximum(last, 0)]
-        agrees = met[:, None] & (((1 << np.arange(BITS)) | (guess[:, None] >> (BITS - np.arange(BITS)))) == node)
-        x[:, :, -1] = np.where(agrees, np.where((guess[:, None] >> (BITS - 1 - np.arange(BITS))) & 1, 2.0, -2.0), 0.0)
+        agrees = met[:, None] & (NODES[guess] == node)
+        x[:, :, -1] = np.where(agrees, np.where(CODE_BITS[guess], np.float32(2), np.float32(-2)), np.float32(0))
         return x, np.arange(BITS) + BITS * agrees, bit
 
     def read(self, x: np.ndarray, gate: np.ndarray, bit: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -295,21 +302,21 @@ class Model:
         """Score a block (texts, words, bits) with the weights so far, then learn from it, in place."""
         n = len(x)
         row = np.arange(n)[:, None, None]
-        used = weights[row, gate]
+        gates = row * (2 * BITS) + gate
+        used = weights.reshape(-1, x.shape[3]).take(gates, axis=0)
         odds = np.clip(np.einsum("lwbp,lwbp->lwb", x, used), -12, 12)
         p = squash(odds)
         cell = ((odds + 12) * ((CELLS - 1) / 24) + 0.5).astype(np.int64)
-        place = np.arange(BITS)
-        fine = squash(odds + refine[row, place, cell])
+        cells = (row * BITS + np.arange(BITS)) * CELLS + cell
+        fine = squash(odds + refine.ravel().take(cells))
         final = np.clip((p + fine) / 2, 1e-6, 1 - 1e-6)
         coded = np.where(valid, np.log10(np.where(bit == 1, final, 1 - final)).sum(axis=2), 0.0).sum(axis=1)
         wrong = ((bit - p) * valid[:, :, None]).astype(np.float32)
-        flat = (row * (2 * BITS) + gate).ravel()
+        flat = gates.ravel()
         for k in range(x.shape[3]):
             weights[:, :, k] += RATE * np.bincount(flat, weights=(wrong * x[..., k]).ravel(), minlength=n * 2 * BITS).reshape(n, 2 * BITS).astype(np.float32)
-        flat = ((row * BITS + place) * CELLS + cell).ravel()
         left = ((bit - fine) * valid[:, :, None]).ravel()
-        refine += REFINE_RATE * np.bincount(flat, weights=left, minlength=n * BITS * CELLS).reshape(n, BITS, CELLS).astype(np.float32)
+        refine += REFINE_RATE * np.bincount(cells.ravel(), weights=left, minlength=n * BITS * CELLS).reshape(n, BITS, CELLS).astype(np.float32)
         return coded
 
     def code_of(self, h: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -323,12 +330,13 @@ class Model:
         for a, b in _groups(bounds, FIT_TOKENS):
             part = slice(int(bounds[a]), int(bounds[b]))
             x, gate, bit = self.inputs(h[part], bounds[a : b + 1] - bounds[a], codes(h[part]), leave_out=True)
-            for g in range(2 * BITS):
-                at = gate[:, g % BITS] == g  # a gate belongs to one place of the code
-                own = x[at, g % BITS].astype(np.float64)
-                p = squash(np.clip(own @ self.weights[g], -12, 12))
-                slope[g] += own.T @ (bit[at, g % BITS] - p)
-                curve[g] += (own * (p * (1 - p))[:, None]).T @ own
+            for place in range(BITS):
+                here, met = np.ascontiguousarray(x[:, place]), gate[:, place] >= BITS
+                for g, at in ((place, np.flatnonzero(~met)), (place + BITS, np.flatnonzero(met))):  # a place's two gates
+                    own = here.take(at, axis=0).astype(np.float64)
+                    p = squash(np.clip(own @ self.weights[g], -12, 12))
+                    slope[g] += own.T @ (bit[:, place].take(at) - p)
+                    curve[g] += (own * (p * (1 - p))[:, None]).T @ own
         return slope, curve
 
     def fit(self, slope: np.ndarray, curve: np.ndarray) -> Model:

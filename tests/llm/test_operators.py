@@ -8,6 +8,8 @@ import zlib
 from collections import Counter, defaultdict
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -420,6 +422,33 @@ def test_first_weights_come_from_every_training_text(corpus, monkeypatch):
     assert abs(seen[0] - seen[1]).max() > 0.001  # one long text among many counts
 
 
+def test_model_fits_from_tables(monkeypatch):
+    """Fitting reads each token's log odds without its own count from tables, instead of working them out per token."""
+    rng = np.random.default_rng(5)
+    tables = np.zeros((op10_mixing_lm.CONTEXTS, 2, 1 << op10_mixing_lm.TABLE_BITS), dtype=np.uint64)
+    texts = pa.array([" ".join(f"w{i}" for i in rng.integers(0, 40, size)) for size in (0, 1, 2, 300, 50)])
+    h, bounds = op10_mixing_lm.tokens(texts)
+    code = op10_mixing_lm.codes(h)
+    places = [[(1 << b | int(c) >> 8 - b, int(c) >> 7 - b & 1) for b in range(8)] for c in code]
+    assert op10_mixing_lm.NODES[code].tolist() == [[n for n, _ in word] for word in places]
+    at = [op10_mixing_lm.slots(c, op10_mixing_lm.NODE_HASHES[code]) for c in op10_mixing_lm.context_hashes(h, bounds)]
+    for k, slot in enumerate(at):
+        for word, row in zip(places, slot, strict=True):
+            for (_, bit), s in zip(word, row, strict=True):
+                tables[k, 0, s] += 1
+                tables[k, 1, s] += bit
+    distinct = len(set(h.tolist()))
+    by_code = np.bincount(code, minlength=256).astype(np.uint64)
+    model = op10_mixing_lm.Model(len(h), distinct, by_code, (by_code > 0).astype(np.uint64), tables)
+    plain = op10_mixing_lm.log_odds
+    monkeypatch.setattr(op10_mixing_lm, "log_odds", None)
+    x, _, bit = model.inputs(h, bounds, code, leave_out=True)
+    slope, curve = model.slopes(texts)
+    for k, slot in enumerate(at):
+        assert (x[:, :, k + 1] == plain(tables[k, 0][slot] - 1.0, tables[k, 1][slot] - bit)).all()
+    assert np.isfinite(slope).all() and np.isfinite(curve).all() and (curve[:8, 0, 0] > 0).all()
+
+
 # --- the pipeline ---
 
 
