@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ensspark import schemas, sinks
 from ensspark.operators import f10, headers, routing, tariff, tracker
 from ensspark.operators.headers import DECL
+from ensspark.plans import catalog
 from ensspark.sources import declarations as source
 from ensspark.sources import settings
 from ensspark.sources.lookups import imo_flags, port_offices, vessel_routes
@@ -507,3 +508,24 @@ def test_values_with_nothing_to_repair_stay(spark):
     rows = spark.createDataFrame([(k,) for k in cases], "v string").select("v", f10.normalize_value(F.col("v")).alias("n"))
     assert {r.v: r.n for r in rows.collect()} == cases
     assert "rlike" in _plan(rows, "optimizedPlan").lower()
+
+
+@pytest.mark.parametrize("hot", [7, None])
+def test_documents_of_one_key_are_spread(spark, tmp_path, hot):
+    """A third of the orders share a key, or have none: no task builds, writes and parses all of their documents."""
+    key = F.when(F.col("id") % 3 == 0, F.lit(hot)).otherwise(F.col("id"))
+    orders = spark.range(0, 600, 1, 2).select(
+        key.alias("o_orderkey"), F.lit(5).cast("long").alias("o_custkey"), F.lit(dt.datetime(1995, 3, 1)).alias("o_orderdate")
+    )
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        # fewer than the cores, of which none may idle
+        spark.conf.set("spark.sql.shuffle.partitions", "1")
+        docs = catalog.QUERIES["xml_roundtrip"](spark, str(tmp_path))
+        tasks = [r["count"] for r in docs.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+        assert docs.filter("doc IS NOT DISTINCT FROM " + ("7" if hot else "NULL")).count() == 200 + bool(hot)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    cores = spark.sparkContext.defaultParallelism
+    assert sum(tasks) == 600 and len(tasks) == cores and max(tasks) <= 1.2 * 600 / cores + 2
