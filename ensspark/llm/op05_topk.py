@@ -27,6 +27,7 @@ EVERY = 100
 
 SHARD = 4096  # vectors of a shard
 BLOCK = 256  # queries of a block
+MOST_TASKS = 2000  # tasks that the shards are dealt to at most
 ESSENTIAL = 0.6  # share of the bounds' width that essential terms cover
 LIMIT = float(1 << 53)  # integers from here on travel as floating-point components, which are exact there
 FITS = 1 << 61  # a bound of scores below this leaves room for the sums of MaxScore in 64 bits
@@ -127,6 +128,14 @@ def packed(rows: DataFrame, size: int, name: str) -> DataFrame:
     return dealt.groupBy(name).agg(F.collect_list(F.struct("id", "x", "wide")).alias(f"{name}_rows"))
 
 
+def _paired(blocks: DataFrame, shards: DataFrame, last: int) -> DataFrame:
+    """Every block beside every shard. Dealt by shard and merged: the copies of the blocks grow with blocks times shards, which
+    the optimizer's size check does not see, so it would broadcast them. The number of tasks follows the shards, not their bytes."""
+    copies = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(last))))
+    tasks = min(4 * (last + 1), MOST_TASKS)  # more than shards, so that few meet by their hash
+    return copies.repartition(tasks, "shard").hint("merge").join(shards.repartition(tasks, "shard"), "shard")
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = K) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of each query's k best vectors, ties to the smaller id.
 
@@ -139,7 +148,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector:
     blocks = packed(landed(quantized(queries, key, vector).dropDuplicates(["id"]), "topk-queries"), BLOCK, "block")
     shards = landed(shards, "topk-shards")
     last = shards.agg(F.max("shard")).first()[0]
-    pairs = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(last or 0)))).join(shards, "shard")
+    pairs = _paired(blocks, shards, last or 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

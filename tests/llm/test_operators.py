@@ -273,6 +273,15 @@ def test_top_k_odd(corpus):
     assert op05_topk.nearest(vectors.limit(0), vectors).count() == 0
 
 
+def test_top_k_broadcasts_no_copies_of_blocks(corpus, monkeypatch):
+    monkeypatch.setattr(op05_topk, "SHARD", 8)
+    monkeypatch.setattr(op05_topk, "BLOCK", 4)
+    vectors = corpus.createDataFrame([(i, [float(i % 7), -1.0, 0.5 * (i % 3)]) for i in range(100)], "vec_id long, embedding array<float>")
+    found = op05_topk.nearest(vectors, vectors.where("vec_id % 10 = 0"))
+    assert found.count() == 100
+    assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_top_k_of_large_components(corpus):
     rng = random.Random(4)
     big = [1.0, 2.0**14, 2.0**22, 2.0**31, 2.0**53, 1e300]
