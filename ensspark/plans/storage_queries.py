@@ -157,7 +157,7 @@ def _ship_folders(spark: SparkSession, sf_dir: str) -> str:
     root = shared_dir(spark, "ships")
     docs = decl.documents(spark, sf_dir)
     for i, ship in enumerate(SHIPS):
-        sinks.write_declaration_files(docs.filter(F.col("doc") % len(SHIPS) == i), f"{root}/queue/{ship}")
+        sinks.write_declaration_files(docs.filter(F.col("doc") % len(SHIPS) == i), f"{root}/queue/{ship}", sinks.TEXT_DOCUMENTS)
     return root
 
 
